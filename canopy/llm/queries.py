@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.llm.bpe import decode, encode
 from canopy.llm.frequency import count_terms, mark_terms
 from canopy.llm.leaks import leaked_items
+from canopy.llm.truncation import judge_texts, truncated_share
 from canopy.operators.common import latest_rows
 from canopy.sources.tables import table
 
@@ -54,7 +55,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequency, p6_ids, p6_round_trip, p7_found)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that their source stored only in part."""
+    return judge_texts(table(spark, d, "documents")).where("truncated").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncated_share(judge_texts(table(spark, d, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_frequency, p6_ids, p6_round_trip, p7_found, p8_found, p8_sources)}
 
 _P3 = """
   with n as (select snapshot_id, path, arg_max(coalesce('v' || primary_type, 'n'), delivered_at) as t from node_rows group by all),
