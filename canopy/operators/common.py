@@ -65,12 +65,10 @@ def lookup(
         )
     few = side.where(F.col("__k").isin(hot_keys)).select(F.col("__k").alias("__hot"), F.col(alias).alias("__hot_value"))
     salt = F.when(F.col(left_key).isNull() | F.col(left_key).isin(hot_keys), spread_by).otherwise(F.lit(0).cast("bigint"))
-    key = F.coalesce(F.col(left_key), F.lit(0).cast("bigint"))
     return (
         out.join(F.broadcast(few), F.col(left_key) == F.col("__hot"), "left")
         .withColumn("__salt", salt)
-        .withColumn("__key", key)
-        .join(side.withColumn("__zero", F.lit(0).cast("bigint")), (F.col("__key") == F.col("__k")) & (F.col("__salt") == F.col("__zero")), "left")
+        .join(side.withColumn("__zero", F.lit(0).cast("bigint")), (F.col(left_key) == F.col("__k")) & (F.col("__salt") == F.col("__zero")), "left")
         .withColumn(alias, F.coalesce(F.col("__hot_value"), F.col(alias)))
-        .drop("__salt", "__zero", "__k", "__key", "__hot", "__hot_value")
+        .drop("__salt", "__zero", "__k", "__hot", "__hot_value")
     )
