@@ -12,7 +12,7 @@ end, an element or tag that isn't closed, a replacement character.
 A text that ends its sentence or element is whole, also at a limit.  A mark put
 in place of the rest (dots or a bracketed word right behind the text) counts
 with a length or vocabulary to support it; dots set apart by a blank are the
-author's.  Captions, signatures, list and status lines are lines of their own
+author's, unless they end at the limit.  Captions, signatures, list and status lines are lines of their own
 without a sentence before them, and count only if they break off within a word.
 """
 
@@ -39,11 +39,13 @@ CLOSERS = r"""["”»'’)\]」』]"""
 END = rf"(?:[.!?。！？…]|</[A-Za-z][^<>]*>|<[^<>]*/>|<(?:hr|br)>){CLOSERS}*\z"
 #: A mark in place of the rest, directly behind it or in brackets.
 MARK = r"(?:(?<=\S)(?:\.\.\.|…)|\s*[\[(](?:more|continued|truncated|cut|\.\.\.|…)[\])])\z"
+DOTS_APART = r"\s(?:\.\.\.|…)\z"
 BEFORE_BLANKS = r"(?U)(?<!\s)\s++\z"
 #: A sentence that ended, with something other than a small letter behind it.
 ENDED = rf"(?U)(?:(?:\p{{L}}{{2}}|\p{{L}} \d{{1,9}}){CLOSERS}*[.!?]{CLOSERS}?\s+(?!\p{{Ll}})|[。！？]{CLOSERS}?\s*[^\s」』）])"
 OPENING, VOID, CLOSING = r"<[A-Za-z](?:[^<>]*[^<>/])?>", r"<(?:br|hr|img|input|meta|link|wbr)\b[^<>]*[^<>/]?>", r"</[A-Za-z][^<>]*>"
-WITHIN_TAG = r"<[A-Za-z/]?[^<>\s]*(?:\s[^<>]*=[^<>]*)?\z"
+#: A tag that doesn't end; the second form only in texts that are markup, for ``<`` has other uses.
+WITHIN_TAG, WITHIN_TAG_OF_MARKUP = r"<(?:[A-Za-z/][^<>\s]*(?:\s[^<>]*=[^<>]*)?)?\z", r"<[A-Za-z/][^<>]*\z"
 
 
 def _final_token(text: str) -> Column:
@@ -59,6 +61,7 @@ def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> Dat
     t = t.withColumn("core", F.when(F.col("marked"), F.regexp_replace(F.regexp_replace("body", MARK, ""), BEFORE_BLANKS, "")).otherwise(F.col("body")))
     last_line = F.substring_index(F.translate("core", "\r", "\n"), "\n", -1)
     opened = F.regexp_count("text", F.lit(OPENING)) - F.regexp_count("text", F.lit(VOID))
+    closed = F.regexp_count("text", F.lit(CLOSING))
     return t.select(
         "doc_id", "source", "text", "marked",
         F.xxhash64("text").alias("content"),
@@ -66,8 +69,9 @@ def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> Dat
         F.octet_length("text").alias("bytes"),
         (F.col("core").rlike(END) & ~F.col("marked")).alias("ended"),
         _final_token("core").alias("token"),
+        F.col("body").rlike(DOTS_APART).alias("dots_apart"),
         last_line.rlike(ENDED).alias("within_sentence"),
-        ((opened > F.regexp_count("text", F.lit(CLOSING))) | F.col("core").rlike(WITHIN_TAG)).alias("within_markup"),
+        ((opened > closed) | F.col("core").rlike(WITHIN_TAG) | ((closed > 0) & F.col("core").rlike(WITHIN_TAG_OF_MARKUP))).alias("within_markup"),
         (F.col("text").rlike(r"[^\S\r\n]\z") | F.col("core").endswith("�")).alias("loose_end"),
     )
 
@@ -136,7 +140,7 @@ def judge_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def _verdict(at_limit: Column, at_block: Column, cut: Column) -> Column:
     unfinished = at_limit | at_block | cut | F.col("within_markup") | F.col("within_sentence") | F.col("loose_end")
-    return F.when(F.col("marked"), at_limit | cut).when(F.col("ended"), F.lit(False)).otherwise(unfinished)
+    return F.when(F.col("marked"), at_limit | cut).when(F.col("ended"), F.col("dots_apart") & at_limit).otherwise(unfinished)
 
 
 def truncated_share(judged: DataFrame) -> DataFrame:
