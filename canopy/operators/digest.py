@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions import paths, values
+from canopy.operators.common import cut
 from canopy.schema import VALUE_COLUMNS
 
 
@@ -79,14 +80,3 @@ def subtree_hashes(nodes: DataFrame, properties: DataFrame) -> DataFrame:
         below = cut(here.select("path", "parent_path", "name", F.sha2(text, 256).alias("subtree_hash")))
         done = below if done is None else done.unionByName(below)
     return done.select("path", "subtree_hash")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The DataFrame without its lineage, in the checkpoint folder that executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="canopy-"))
-    return df.checkpoint()

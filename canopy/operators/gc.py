@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import values
-from canopy.operators.digest import cut
+from canopy.operators.common import cut
 
 ARCHIVE_NAME = r"\Adata([0-9]{5,})([a-z])?\.tar\z"
 #: A closure of more rounds than this isn't one of real data.

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.common import lookup
-from canopy.operators.digest import cut
+from canopy.operators.common import cut, lookup
 from canopy.schema import FormatError
 
 #: Levels of a tree beyond which parents must run in circles.
