@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.operators.common import lookup
+from canopy.operators.common import cut, lookup
 
 #: A length is a limit when so many different texts of a source have it, and at least this share of its texts.
 LEAST_AT_LIMIT, LEAST_SHARE = 3, 0.01
@@ -54,26 +54,35 @@ def _final_token(text: str) -> Column:
 
 
 def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """Each text that isn't blank with what its end looks like."""
+    """Each text that isn't blank with what its end looks like.
+
+    Texts are read once here; what is kept of them, under a hundred bytes each, is
+    a checkpoint that all later steps read.  Dear patterns run only where a cheap
+    test leaves them a chance.
+    """
     t = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
-    body = F.regexp_replace("text", BEFORE_BLANKS, "")
-    t = t.withColumn("body", body).withColumn("marked", F.col("body").rlike(MARK))
+    t = t.withColumn("body", F.regexp_replace("text", BEFORE_BLANKS, "")).withColumn("last", F.right("body", F.lit(1)))
+    may_be_marked = F.col("last").isin(".", "…", "]", ")")
+    t = t.withColumn("marked", F.when(may_be_marked, F.col("body").rlike(MARK)).otherwise(F.lit(False)))
     t = t.withColumn("core", F.when(F.col("marked"), F.regexp_replace(F.regexp_replace("body", MARK, ""), BEFORE_BLANKS, "")).otherwise(F.col("body")))
+    t = t.withColumn("ended", ~F.col("marked") & ~F.col("last").rlike(r"[\p{L}\p{M}\p{N}]") & F.col("core").rlike(END))
     last_line = F.substring_index(F.translate("core", "\r", "\n"), "\n", -1)
+    has_tags = F.col("text").contains("<")
     opened = F.regexp_count("text", F.lit(OPENING)) - F.regexp_count("text", F.lit(VOID))
     closed = F.regexp_count("text", F.lit(CLOSING))
-    return t.select(
-        "doc_id", "source", "text", "marked",
+    within_markup = (opened > closed) | F.col("core").rlike(WITHIN_TAG) | ((closed > 0) & F.col("core").rlike(WITHIN_TAG_OF_MARKUP))
+    described = t.select(
+        "doc_id", "source", "marked", "ended",
         F.xxhash64("text").alias("content"),
         F.length("text").alias("characters"),
         F.octet_length("text").alias("bytes"),
-        (F.col("core").rlike(END) & ~F.col("marked")).alias("ended"),
-        _final_token("core").alias("token"),
-        F.col("body").rlike(DOTS_APART).alias("dots_apart"),
-        last_line.rlike(ENDED).alias("within_sentence"),
-        ((opened > closed) | F.col("core").rlike(WITHIN_TAG) | ((closed > 0) & F.col("core").rlike(WITHIN_TAG_OF_MARKUP))).alias("within_markup"),
-        (F.col("text").rlike(r"[^\S\r\n]\z") | F.col("core").endswith("�")).alias("loose_end"),
+        F.when(~F.col("ended"), _final_token("core")).alias("token"),
+        F.when(may_be_marked, F.col("body").rlike(DOTS_APART)).otherwise(F.lit(False)).alias("dots_apart"),
+        F.when(F.col("ended"), F.lit(False)).otherwise(last_line.rlike(ENDED)).alias("within_sentence"),
+        F.when(~F.col("ended") & has_tags, within_markup).otherwise(F.lit(False)).alias("within_markup"),
+        (F.right("text", F.lit(1)).rlike(r"[^\S\r\n]") | F.col("core").endswith("�")).alias("loose_end"),
     )
+    return cut(described)
 
 
 def field_limits(described: DataFrame) -> DataFrame:
@@ -100,12 +109,12 @@ def field_limits(described: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary_trie(described: DataFrame) -> DataFrame:
+def vocabulary_trie(documents: DataFrame, text: str) -> DataFrame:
     """Nodes of the trie of known words: ``prefix``, ``own`` texts with it as a word, ``below`` texts with words it begins."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     # the last word of a text may be cut: it proves nothing
     inner = F.array_distinct(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    counted = described.select(F.explode(inner).alias("word")).where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    counted = documents.select(F.explode(inner).alias("word")).where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
     nodes = counted.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("size")).select(
         F.substring("word", F.lit(1), F.col("size")).alias("prefix"), (F.col("size") == F.length("word")).alias("whole"), "n"
     )
@@ -121,14 +130,14 @@ def judge_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     described = _described(documents, doc_id, text, source)
     limits = field_limits(described).select("source", F.struct("character_limit", "byte_limit", "blocks").alias("limit"))
-    open_ends = described.where(~F.col("ended") & (F.length("token") >= SHORTEST_PREFIX))
+    open_ends = described.where(F.length("token") >= SHORTEST_PREFIX)
     tokens = open_ends.select("token").distinct()
     unknown = (F.col("below") > 0) & ((F.col("own") == 0) | (F.col("own") * PREFIX_RATIO <= F.col("below")))
-    cut_tokens = tokens.join(vocabulary_trie(described), F.col("token") == F.col("prefix")).where(unknown).select(F.col("token").alias("cut_token"), F.lit(True).alias("cut"))
-    d = described.drop("text", "content")
-    key_of_open_end = F.when(~F.col("ended") & (F.length("token") >= SHORTEST_PREFIX), F.col("token"))
-    d = lookup(d, limits, "source", "source", "limit", "limit", ["doc_id"], count_on=documents.select(F.col(source).alias("source")))
-    d = lookup(d.withColumn("open_token", key_of_open_end), cut_tokens, "open_token", "cut_token", "cut", "cut", ["doc_id"], count_on=documents.select(_final_token(text).alias("open_token")))
+    cut_tokens = tokens.join(vocabulary_trie(documents, text), F.col("token") == F.col("prefix")).where(unknown).select(F.col("token").alias("cut_token"), F.lit(True).alias("cut"))
+    d = described.drop("content")
+    key_of_open_end = F.when(F.length("token") >= SHORTEST_PREFIX, F.col("token"))
+    d = lookup(d, limits, "source", "source", "limit", "limit", ["doc_id"], count_on=described)
+    d = lookup(d.withColumn("open_token", key_of_open_end), cut_tokens, "open_token", "cut_token", "cut", "cut", ["doc_id"], count_on=open_ends.select(F.col("token").alias("open_token")))
 
     at_limit = F.coalesce(F.col("characters") == F.col("limit.character_limit"), F.lit(False)) | F.coalesce(
         F.col("bytes").between(F.col("limit.byte_limit") - SLACK, F.col("limit.byte_limit")), F.lit(False)
