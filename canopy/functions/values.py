@@ -146,8 +146,9 @@ def byte_size(count: Column) -> Column:
     """In binary units with one decimal, cut rather than rounded."""
     out = F.when(count == 1, "1 byte").otherwise(F.concat(count.cast("string"), F.lit(" bytes")))
     for unit, bits in reversed(list(BYTE_UNITS.items())):
-        tenths = (count.cast("decimal(20,0)") * 10 / F.lit(1 << bits).cast("decimal(20,0)")).cast("decimal(38,6)")
-        whole = F.floor(tenths).cast("bigint")
+        ten, size = count.cast("decimal(20,0)") * 10, F.lit(1 << bits).cast("decimal(20,0)")
+        # what is left after the remainder divides exactly
+        whole = ((ten - ten % size) / size).cast("bigint")
         text = F.concat(F.floor(whole / 10).cast("string"), F.lit("."), (whole % 10).cast("string"), F.lit(f" {unit}"))
         out = F.when(count >= (1 << bits), text).otherwise(out)
     return out
