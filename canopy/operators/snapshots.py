@@ -1,11 +1,11 @@
 """What changed between consecutive full snapshots of a table.
 
-The snapshots are sorted by key and cut into chunks where a key's own hash says
-so, so that an insertion moves no cut but the ones beside it.  A chunk whose
-digest (128 bits over the keys and contents of its rows) is found in the
-neighbouring snapshot is dropped whole; only rows of the other chunks are
-joined by key and classified.  Contents travel as 128-bit digests, never as
-values, so every shuffle carries keys and fixed-width numbers.
+All snapshots are brought into the order of their keys and cut into chunks where
+a key's own hash says so, so that an insertion moves no cut but the ones beside
+it.  A chunk whose digest (its rows and 128 bits over their keys and contents)
+is the same in the neighbouring snapshot is dropped whole; only rows of the
+other chunks are joined by key and classified.  Contents travel as 128-bit
+digests, never as values, so every shuffle carries keys and fixed-width numbers.
 """
 
 from __future__ import annotations
@@ -14,55 +14,88 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopy.operators.common import latest_rows, row_digest
 
-#: A chunk holds 2**CHUNK_BITS rows on average.
-CHUNK_BITS = 6
+#: A chunk holds 2**CHUNK_BITS keys on average.
+CHUNK_BITS = 4
 #: The catalogue of snapshots goes to every task; more of them are refused.
 MOST_SNAPSHOTS = 100_000
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``chunk``: the hash of the key at which the row's chunk begins.
-
-    Rows come sorted by snapshot and key.  A partition's edge is a cut too, the
-    same for all snapshots, for partitions are ranges of keys.
+def _open_rows(batch: pa.RecordBatch, chunk: np.ndarray, snapshots: int) -> pa.RecordBatch:
+    """Rows of whole chunks whose digest differs from the one before (``later``) or behind (``earlier``)."""
+    rank = batch.column("rank").to_numpy(zero_copy_only=False).astype(np.int64)
+    place = chunk * snapshots + rank
+    order = np.argsort(place, kind="stable")
+    begin = np.flatnonzero(np.diff(place[order], prepend=-1))
+    cells = place[order][begin]
+    shape = (int(chunk[-1]) + 1, snapshots)
+    digests = [np.zeros(shape, np.uint64) for _ in range(3)]
+    digests[0].flat[cells] = np.diff(begin, append=len(order)).astype(np.uint64)
+    for k, h in ((1, "h1"), (2, "h2")):  # sums wrap, whatever the order
+        digests[k].flat[cells] = np.add.reduceat(batch.column(h).to_numpy(zero_copy_only=False).view(np.uint64)[order], begin)
+    same = np.ones((shape[0], snapshots + 1), bool)  # same[:, r]: snapshots r - 1 and r agree; the outermost have no neighbour
+    for d in digests:
+        same[:, 1:-1] &= d[:, 1:] == d[:, :-1]
+    later, earlier = ~same[chunk, rank], ~same[chunk, rank + 1]
+    keep = pa.array(later | earlier)
+    columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "key_hash"} | {"later": pa.array(later), "earlier": pa.array(earlier)}
+    return pa.RecordBatch.from_pydict(columns).filter(keep)
+
+
+def _unmatched(snapshots: int):
+    """Of rows sorted by key, those of chunks that don't match.
+
+    A chunk begins where a key's hash ends in CHUNK_BITS zeros, in all snapshots
+    alike, and at a partition's edge, for partitions are ranges of keys.  No more
+    than a batch and an unfinished chunk is held.
     """
-    edge = -1 - TaskContext.get().partitionId()
-    snapshot, chunk = None, edge
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        rank = batch.column("rank").to_numpy(zero_copy_only=False)
-        hashed = batch.column("key_hash").to_numpy(zero_copy_only=False)
-        fresh = np.concatenate(([snapshot is None or rank[0] != snapshot], rank[1:] != rank[:-1]))
-        by_key = (hashed & ((1 << CHUNK_BITS) - 1)) == 0
-        begin = np.where(by_key, hashed, edge)
-        last = np.maximum.accumulate(np.where(by_key | fresh, np.arange(n), -1))
-        ids = np.where(last >= 0, begin[last], chunk)
-        snapshot, chunk = rank[-1], int(ids[-1])
-        columns = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "key_hash"]
-        names = [name for name in batch.schema.names if name != "key_hash"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.int64())], names=[*names, "chunk"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hashed = batch.column("key_hash").to_numpy(zero_copy_only=False)
+            before = np.concatenate(([hashed[0] - 1 if last is None else last], hashed[:-1]))
+            begins = np.flatnonzero(((hashed & ((1 << CHUNK_BITS) - 1)) == 0) & (hashed != before))
+            last = hashed[-1]
+            if len(begins):
+                held.append(batch.slice(0, int(begins[-1])))
+                yield from _finished(held, snapshots)
+                held = [batch.slice(int(begins[-1]))]
+            else:
+                held.append(batch)
+        yield from _finished(held, snapshots)
+
+    return run
+
+
+def _finished(held: list[pa.RecordBatch], snapshots: int) -> Iterator[pa.RecordBatch]:
+    held = [b for b in held if b.num_rows]
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        hashed = whole.column("key_hash").to_numpy(zero_copy_only=False)
+        begins = ((hashed & ((1 << CHUNK_BITS) - 1)) == 0) & np.concatenate(([False], hashed[1:] != hashed[:-1]))
+        yield _open_rows(whole, np.cumsum(begins), snapshots)
 
 
 def snapshot_catalogue(snapshots: DataFrame, snapshot: str) -> DataFrame:
-    """``snapshot``, its ``rank`` in their order and the ``following`` snapshot.
+    """``snapshot`` (as ``__id``) and its ``rank`` in their order.
 
     Fails when there are more than MOST_SNAPSHOTS, for the result is broadcast.
     """
     ids = sorted(r[0] for r in snapshots.select(snapshot).where(F.col(snapshot).isNotNull()).distinct().limit(MOST_SNAPSHOTS + 1).collect())
     if len(ids) > MOST_SNAPSHOTS:
         raise ValueError(f"more than {MOST_SNAPSHOTS} snapshots")
-    rows = [(s, k, ids[k + 1] if k + 1 < len(ids) else None) for k, s in enumerate(ids)]
+    rows = [(s, k) for k, s in enumerate(ids)]
     kind = snapshots.schema[snapshot].dataType
-    schema = T.StructType([T.StructField("__id", kind), T.StructField("rank", T.IntegerType()), T.StructField("following", kind)])
+    schema = T.StructType([T.StructField("__id", kind), T.StructField("rank", T.IntegerType())])
     return snapshots.sparkSession.createDataFrame(rows, schema)
 
 
@@ -85,28 +118,19 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame, keys: Sequence[str],
     )
     own = [f"__k{i}" for i in range(len(keys))]
     valid = latest_rows(digested, ["__id", *own], "__version", ["h1", "h2"]).join(F.broadcast(catalogue), "__id").drop("__id")
-    prepared = valid.withColumn("key_hash", row_digest(own, 3)).repartitionByRange(*own).sortWithinPartitions("rank", *own)
-    cut_schema = T.StructType([f for f in prepared.schema.fields if f.name != "key_hash"]).add("chunk", T.LongType())
-    cut = prepared.mapInArrow(_cut, cut_schema).repartition("chunk")
-
-    whole = Window.partitionBy("chunk", "rank")
-    digest = F.struct(F.count(F.lit(1)).over(whole).alias("n"), F.bit_xor("h1").over(whole).alias("a"), F.bit_xor("h2").over(whole).alias("b"))
-    chunks = Window.partitionBy("chunk").orderBy("rank")
-
-    def beside(step: int) -> Column:
-        return F.first("digest").over(chunks.rangeBetween(step, step))
-
-    compared = cut.withColumn("digest", digest).select("*", beside(-1).alias("before"), beside(1).alias("behind"))
+    prepared = valid.withColumn("key_hash", row_digest(own, 3)).repartitionByRange(*own).sortWithinPartitions(*own, "rank")
+    names = catalogue.select(F.col("rank").alias("pair"), F.col("__id").alias(snapshot))
+    schema = T.StructType([f for f in prepared.schema.fields if f.name != "key_hash"]).add("later", T.BooleanType()).add("earlier", T.BooleanType())
+    unmatched = prepared.mapInArrow(_unmatched(catalogue.count()), schema)
     # a row is the later one of its own snapshot's pair and the earlier one of the next pair
-    later = F.when((F.col("rank") > 0) & ~F.col("digest").eqNullSafe(F.col("before")), F.struct(F.col("rank").alias("pair"), F.lit(True).alias("later")))
-    earlier = F.when(F.col("following").isNotNull() & ~F.col("digest").eqNullSafe(F.col("behind")), F.struct((F.col("rank") + 1).alias("pair"), F.lit(False).alias("later")))
-    open_rows = compared.select(*own, "h1", "h2", F.explode(F.array_compact(F.array(later, earlier))).alias("role"))
+    later = F.when(F.col("later"), F.struct(F.col("rank").alias("pair"), F.lit(True).alias("later")))
+    earlier = F.when(F.col("earlier"), F.struct((F.col("rank") + 1).alias("pair"), F.lit(False).alias("later")))
+    open_rows = unmatched.select(*own, "h1", "h2", F.explode(F.array_compact(F.array(later, earlier))).alias("role"))
     content = F.struct("h1", "h2")
     joined = open_rows.groupBy(F.col("role.pair").alias("pair"), *own).agg(
         F.max(F.when(~F.col("role.later"), content)).alias("old"), F.max(F.when(F.col("role.later"), content)).alias("new")
     )
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
-    names = catalogue.select(F.col("rank").alias("pair"), F.col("__id").alias(snapshot))
     return (
         joined.withColumn("change", change)
         .where(F.col("change").isNotNull())
