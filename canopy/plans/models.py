@@ -100,9 +100,12 @@ def chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def head(spark: SparkSession, d: str) -> DataFrame:
-    """The head segment: the largest order's."""
-    o = table(spark, d, "orders").agg(F.max("o_orderkey").alias("k"))
-    return segments(spark, d).join(F.broadcast(o.select(_uuid(F.col("k"), "a").alias("segment"))), "segment", "left_semi")
+    """The head segment: the newest order's."""
+    o = table(spark, d, "orders").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m"))
+    return segments(spark, d).join(F.broadcast(o.select(_uuid(F.col("m.o_orderkey"), "a").alias("segment"))), "segment", "left_semi")
+
+
+HEAD_KEY_SQL = "(select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 1)"
 
 
 SEGMENTS_SQL = f"""with s as (
@@ -110,7 +113,7 @@ SEGMENTS_SQL = f"""with s as (
     (year(o_orderdate) - {YEAR_ZERO})::int as generation, floor((year(o_orderdate) - {YEAR_ZERO}) / 2)::int as full_generation, o_orderstatus = 'F' as is_compacted from orders
   union all select {_uuid_sql("p_partkey", "b")}, 'bulk', printf('data%05da.tar', p_partkey % {ARCHIVES}), -1 - p_partkey, (p_size * 1000)::bigint, 0, 0, false from part),
  r as (select distinct {_uuid_sql("l_orderkey", "a")} as source, {_uuid_sql("l_partkey", "b")} as target from lineitem),
- h as (select * from s where segment = (select {_uuid_sql("max(o_orderkey)", "a")} from orders))"""
+ h as (select * from s where segment = {_uuid_sql(HEAD_KEY_SQL, "a")})"""
 
 
 # -- version histories and checkpoints

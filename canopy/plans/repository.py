@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import paths, values
-from canopy.operators import checkpoints, diff, digest, gc, interned, orphans, search, sinks, tree, versions
+from canopy.operators import checkpoints, commits, diff, digest, gc, interned, orphans, search, sinks, tree, versions
 from canopy.operators.common import lookup
 from canopy.plans import models as m
-from canopy.schema import VALUE_COLUMNS, violations
+from canopy.schema import NODES, VALUE_COLUMNS, violations
 from canopy.sources.journal import last_gc_entry, parse_gc_line, retention_boundary
 from canopy.sources.tables import table
 
@@ -678,12 +678,12 @@ def history_veto_price(s, d):
     return with_veto.agg(F.sum("size").alias("without_veto"), F.sum(F.when(F.col("v").isNull(), F.col("size"))).alias("with_veto"))
 
 
-@query(f"with recursive c(k) as (select max(o_orderkey) from orders union all select k // 3 from c where k > 0) select distinct {m._uuid_sql('k', 'a')} as segment from c")
+@query(f"with recursive c(k) as (select {m.HEAD_KEY_SQL} union all select k // 3 from c where k > 0) select distinct {m._uuid_sql('k', 'a')} as segment from c")
 def segment_closure(s, d):
     return gc.closure(m.head(s, d).select("segment"), m.chain(s, d))
 
 
-@query(f"with recursive c(k) as (select max(o_orderkey) from orders union all select k // 3 from c where k > 0), cl as (select distinct {m._uuid_sql('k', 'a')} as segment from c), " + m.SEGMENTS_SQL.removeprefix("with ") + _mark_sql(True, 2) + " select segment from mk where reclaimable and segment in (select segment from cl)")
+@query(f"with recursive c(k) as (select {m.HEAD_KEY_SQL} union all select k // 3 from c where k > 0), cl as (select distinct {m._uuid_sql('k', 'a')} as segment from c), " + m.SEGMENTS_SQL.removeprefix("with ") + _mark_sql(True, 2) + " select segment from mk where reclaimable and segment in (select segment from cl)")
 def reclaim_invariant(s, d):
     """Segments that the head reaches but the mark would free: they must be protected."""
     reached = gc.closure(m.head(s, d).select("segment"), m.chain(s, d))
@@ -713,6 +713,47 @@ def index_bytes_by_kind(s, d):
     return s0.join(held, "segment", "left_semi").groupBy("kind").agg(F.sum("size").alias("bytes"))
 
 
+@query(G(_mark_sql(True, 2) + """ select case when m.kind = 'bulk' then 'bulk without referrers' when s.is_compacted and (s.archive, s.position) > (h.archive, h.position) then 'ahead of the head' when s.is_compacted then 'old full generation'
+    else 'old generation' end as reason, count(*) as segments, sum(m.size)::bigint as bytes from mk m join s using (segment), h where m.reclaimable group by 1"""))
+def reclaimable_by_reason(s, d):
+    head = m.head(s, d).agg(F.max(F.struct("archive", "position"))).scalar()
+    marked = _marked(s, d).where("reclaimable").join(m.segments(s, d).select("segment", "is_compacted", "position"), "segment")
+    ahead = F.col("is_compacted") & (F.struct("archive", "position") > head)
+    reason = F.when(F.col("kind") == "bulk", "bulk without referrers").when(ahead, "ahead of the head").when(F.col("is_compacted"), "old full generation").otherwise("old generation")
+    return marked.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("segments"), F.sum("size").alias("bytes"))
+
+
+@query(G(_mark_sql(True, 2) + " select target as segment, count(*) as kept_referrers from r join mk on mk.segment = r.source where not mk.reclaimable group by 1 having count(*) > 1"))
+def shared_bulk(s, d):
+    """Bulk segments that more than one data segment that stays refers to."""
+    kept = _marked(s, d).where("kind = 'data' and not reclaimable").select(F.col("segment").alias("source"))
+    n = m.references(s, d).join(kept, "source", "left_semi").groupBy(F.col("target").alias("segment")).agg(F.count(F.lit(1)).alias("kept_referrers"))
+    return n.where("kept_referrers > 1")
+
+
+@query(G(_mark_sql(True, 2) + " select target as segment from r where source in (select segment from mk where kind = 'data' and reclaimable) except select target from r where source in (select segment from mk where kind = 'data' and not reclaimable)"))
+def released_bulk(s, d):
+    """What only segments that go refer to."""
+    marked, r = _marked(s, d).where("kind = 'data'"), m.references(s, d)
+    of = lambda goes: r.join(marked.where(F.col("reclaimable") == goes).select(F.col("segment").alias("source")), "source", "left_semi").select(F.col("target").alias("segment"))
+    return of(True).distinct().join(of(False).distinct(), "segment", "left_anti")
+
+
+@query(A("select count(*) as rows, count(distinct (path, primary_type)) as distinct_nodes from n where primary_type is not null"))
+def distinct_verified(s, d):
+    """Rows of all snapshots, and the different nodes among them, each verified once."""
+    n = m.all_nodes(s, d).where("primary_type is not null").groupBy("path", "primary_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_nodes"))
+
+
+@query(T(f"select {NC} from n where not (path = '{INBOX}' or starts_with(path, '{INBOX}/')) union all select '{INBOX}', '/content/dam', 'inbox', 3, 'nt:folder'"))
+def committed_nodes(s, d):
+    """The tree after a commit that removes a subtree and puts an empty node in its place."""
+    put = s.createDataFrame([(INBOX, "/content/dam", "inbox", 3, "nt:folder")], NODES)
+    n, p = m.nodes(s, d), m.properties(s, d)
+    return commits.edited(n, p, put.select("path"), put, p.limit(0))[0]
+
+
 # ---------------------------------------------------------------- histories, checkpoints, binaries
 
 
