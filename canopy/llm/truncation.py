@@ -29,8 +29,8 @@ LEAST_AT_LIMIT, LEAST_SHARE = 3, 0.01
 SLACK = 3
 #: Transfers break at multiples of so many bytes; texts there must be so many times more than chance puts there.
 TRANSFER_BLOCK, TIMES_CHANCE = 512, 10
-#: Longer tokens are no words; shorter ones prove nothing as prefixes.
-LONGEST_WORD, SHORTEST_PREFIX = 64, 3
+#: Longer tokens are no words; shorter ones prove nothing as prefixes, unless a line of so many words ends with them.
+LONGEST_WORD, SHORTEST_PREFIX, WORDS_OF_A_CLAUSE = 64, 3, 8
 #: A token so many times rarer than the words it begins isn't known as a word.
 PREFIX_RATIO = 500
 
@@ -42,7 +42,7 @@ MARK = r"(?:(?<=\S)(?:\.\.\.|…)|\s*[\[(](?:more|continued|truncated|cut|\.\.\.
 DOTS_APART = r"\s(?:\.\.\.|…)\z"
 BEFORE_BLANKS = r"(?U)(?<!\s)\s++\z"
 #: A sentence that ended, with something other than a small letter behind it.
-ENDED = rf"(?U)(?:(?:\p{{L}}{{2}}|\p{{L}} \d{{1,9}}){CLOSERS}*[.!?]{CLOSERS}?\s+(?!\p{{Ll}})|[。！？]{CLOSERS}?\s*[^\s」』）])"
+ENDED = rf"(?U)(?:(?:\p{{L}}{{2}}|\p{{L}} \d{{1,9}}){CLOSERS}*(?:\.|\s?[!?]){CLOSERS}?\s+(?!\p{{Ll}})|[。！？]{CLOSERS}?\s*[^\s」』）])"
 OPENING, VOID, CLOSING = r"<[A-Za-z](?:[^<>]*[^<>/])?>", r"<(?:br|hr|img|input|meta|link|wbr)\b[^<>]*[^<>/]?>", r"</[A-Za-z][^<>]*>"
 #: A tag that doesn't end; the second form only in texts that are markup, for ``<`` has other uses.
 WITHIN_TAG, WITHIN_TAG_OF_MARKUP = r"<(?:[A-Za-z/][^<>\s]*(?:\s[^<>]*=[^<>]*)?)?\z", r"<[A-Za-z/][^<>]*\z"
@@ -67,6 +67,7 @@ def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> Dat
     t = t.withColumn("core", F.when(F.col("marked"), F.regexp_replace(F.regexp_replace("body", MARK, ""), BEFORE_BLANKS, "")).otherwise(F.col("body")))
     t = t.withColumn("ended", ~F.col("marked") & ~F.col("last").rlike(r"[\p{L}\p{M}\p{N}]") & F.col("core").rlike(END))
     last_line = F.substring_index(F.translate("core", "\r", "\n"), "\n", -1)
+    final = _final_token("core")
     has_tags = F.col("text").contains("<")
     opened = F.regexp_count("text", F.lit(OPENING)) - F.regexp_count("text", F.lit(VOID))
     closed = F.regexp_count("text", F.lit(CLOSING))
@@ -76,7 +77,7 @@ def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> Dat
         F.xxhash64("text").alias("content"),
         F.length("text").alias("characters"),
         F.octet_length("text").alias("bytes"),
-        F.when(~F.col("ended"), _final_token("core")).alias("token"),
+        F.when(~F.col("ended"), F.when((F.length(final) >= SHORTEST_PREFIX) | (F.size(F.split(last_line, " ")) >= WORDS_OF_A_CLAUSE), final).otherwise("")).alias("token"),
         F.when(may_be_marked, F.col("body").rlike(DOTS_APART)).otherwise(F.lit(False)).alias("dots_apart"),
         F.when(F.col("ended"), F.lit(False)).otherwise(last_line.rlike(ENDED)).alias("within_sentence"),
         F.when(~F.col("ended") & has_tags, within_markup).otherwise(F.lit(False)).alias("within_markup"),
@@ -130,12 +131,12 @@ def judge_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     described = _described(documents, doc_id, text, source)
     limits = field_limits(described).select("source", F.struct("character_limit", "byte_limit", "blocks").alias("limit"))
-    open_ends = described.where(F.length("token") >= SHORTEST_PREFIX)
+    open_ends = described.where(F.length("token") > 0)
     tokens = open_ends.select("token").distinct()
     unknown = (F.col("below") > 0) & ((F.col("own") == 0) | (F.col("own") * PREFIX_RATIO <= F.col("below")))
     cut_tokens = tokens.join(vocabulary_trie(documents, text), F.col("token") == F.col("prefix")).where(unknown).select(F.col("token").alias("cut_token"), F.lit(True).alias("cut"))
     d = described.drop("content")
-    key_of_open_end = F.when(F.length("token") >= SHORTEST_PREFIX, F.col("token"))
+    key_of_open_end = F.when(F.length("token") > 0, F.col("token"))
     d = lookup(d, limits, "source", "source", "limit", "limit", ["doc_id"], count_on=described)
     d = lookup(d.withColumn("open_token", key_of_open_end), cut_tokens, "open_token", "cut_token", "cut", "cut", ["doc_id"], count_on=open_ends.select(F.col("token").alias("open_token")))
 
