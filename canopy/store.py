@@ -219,6 +219,34 @@ class ContentStore:
         files = self.spark.createDataFrame([(f,) for f in os.listdir(self.directory)], "file_name string")
         return gc.sweep(marked, files, savings_gate=True)
 
+    def segment_times(self) -> DataFrame:
+        """``segment`` and ``written_ms``, the time that a data segment's first record states; null without one."""
+        first = self._decoded.records.where("record_number = 0")
+        return first.select("segment", F.regexp_extract("text", r'"t":(-?[0-9]+)', 1).try_cast("bigint").alias("written_ms"))
+
+    def super_roots(self) -> DataFrame:
+        """``node`` of every record that could be a head, having both a root and checkpoints, newest first."""
+        both = self._children.where(F.col("name").isin("root", "checkpoints")).groupBy("owner").agg(F.countDistinct("name").alias("n")).where("n = 2")
+        at = both.select(F.col("owner").alias("node"), F.substring_index("owner", ":", 1).alias("segment"), F.substring_index("owner", ":", -1).cast("int").alias("number"))
+        order = [F.desc_nulls_last("written_ms"), F.desc(values.signed_half(F.col("segment"), True)), F.desc(values.signed_half(F.col("segment"), False)), F.desc("number")]
+        return at.join(self.segment_times(), "segment", "left").orderBy(*order).select("node", "written_ms")
+
+    def consistent(self, top: str) -> bool:
+        """Whether all that a super-root reaches, its checkpoints too, is there."""
+        reached = self._tree(top).select("node").distinct()
+        return reached.join(self._decoded.nodes.select("node"), "node", "left_anti").isEmpty()
+
+    def recovered_journal(self) -> list[str]:
+        """Revisions for a new journal, newest first: the newest inconsistent candidates are left out, older ones are kept unverified.
+
+        Candidates come to the driver, one per commit, as a journal's lines do.
+        """
+        found = [r.node for r in self.super_roots().collect()]
+        for k, top in enumerate(found):
+            if self.consistent(top):
+                return found[k:]
+        return []
+
     def provenance(self, path: str = "/", depth: int | None = None) -> sinks.Provenance:
         return sinks.Provenance(self.head(), paths.normalize_text(path), depth)
 

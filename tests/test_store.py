@@ -96,6 +96,12 @@ def test_questions(store, directory, tmp_path):
     assert store.plan_reclaim().columns == ["archive", "decision", "segments", "eligible_bytes", "freed_bytes"]
 
 
+def test_recovery(store, directory):
+    assert {r.node for r in store.super_roots().collect()} == set(directory[1:])
+    assert store.recovered_journal() == [directory[2], directory[1]]
+    assert store.consistent(directory[1]) and not store.consistent(f"{data_id(1)}:99999")
+
+
 def test_damage(spark, directory, tmp_path):
     t = Segment(data_id(5))
     t.node(primary="x")
