@@ -65,8 +65,8 @@ YEAR_ZERO, ARCHIVES = 1995, 50
 
 def _uuid(key, kind: str):
     """An identifier made of a key, with the digit of its kind."""
-    h = F.md5(F.concat(F.lit(kind), key.cast("string")))
-    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit(f"-{kind}"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+    digest = F.md5(F.concat(F.lit(kind), key.cast("string")))
+    return F.regexp_replace(digest, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", f"$1-$2-4$3-{kind}$4-$5")
 
 
 def _uuid_sql(key: str, kind: str) -> str:
