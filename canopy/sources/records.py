@@ -10,11 +10,13 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.functions import values as v
 from canopy.operators.common import cut
 from canopy.schema import PROPERTY_TYPES, FormatError
 
@@ -52,20 +54,26 @@ class _Segment:
     def keys(self, at: int, count: int) -> list[str]:
         return [self.key(at + 6 * k) for k in range(count)]
 
+    def inline(self, at: int, n: int) -> str:
+        raw = self.content[at : at + n]
+        if len(raw) < n:
+            raise FormatError("value ends early")
+        return raw.decode("utf-8", "replace")
+
     def value(self, at: int) -> tuple:
         """Text, length, references and integers of a value: an inline text, a list of blocks, or an external id."""
         c, first = self.content, self.content[at]
         if first < 0x80:
-            return c[at + 1 : at + 1 + first].decode("utf-8", "replace"), first, [], [0]
+            return self.inline(at + 1, first), first, [], [0]
         if first < 0xC0:
             n = (struct.unpack(">H", c[at : at + 2])[0] & 0x3FFF) + SMALL
-            return c[at + 2 : at + 2 + n].decode("utf-8", "replace"), n, [], [0]
+            return self.inline(at + 2, n), n, [], [0]
         if first < 0xE0:
             n = (struct.unpack(">Q", c[at : at + 8])[0] & ((1 << 61) - 1)) + MEDIUM
             return None, n, [self.key(at + 8)], [0]
         if first < 0xF0:
             n = struct.unpack(">H", c[at : at + 2])[0] & 0xFFF
-            return c[at + 2 : at + 2 + n].decode("utf-8", "replace"), None, [], [1]
+            return self.inline(at + 2, n), None, [], [1]
         if first < 0xF8:
             return None, None, [self.key(at + 1)], [1]
         raise FormatError("no value")
@@ -92,6 +100,8 @@ class _Segment:
         return None, None, refs, [primary, mixins, arity, count, *types]
 
     def decoded(self, kind: int, at: int) -> tuple:
+        if at < HEADER:
+            raise FormatError("place outside the segment")
         end = self.ends[at]
         if kind in (VALUE, BLOB_ID):
             return self.value(at)
@@ -173,47 +183,58 @@ def expand_lists(lists: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def texts(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """``record``, ``text``, ``length`` and ``external`` of every value; long texts are put together of their blocks."""
+    """``record``, ``text``, ``length``, ``external`` and ``octets`` of every value; long texts are put together of their blocks.
+
+    ``octets`` is the number of bytes really there: less than ``length`` where
+    blocks are missing or cut.
+    """
     values = records.where(F.col("type").isin(VALUE, BLOB_ID))
-    short = values.where(F.col("text").isNotNull()).select("record", "text", F.col("n").alias("length"), (F.col("ints")[0] == 1).alias("external"))
+    short = values.where(F.col("text").isNotNull()).select("record", "text", F.col("n").alias("length"), (F.col("ints")[0] == 1).alias("external"), F.col("n").alias("octets"))
     long = values.where(F.col("text").isNull() & F.col("n").isNotNull())
     blocks = expand_lists(long.select(F.col("record").alias("owner"), F.col("refs")[0].alias("ref"), F.ceil(F.col("n") / BLOCK_SIZE).alias("n")), records)
-    at = records.where(F.col("type") == BLOCK).select(F.col("record").alias("ref"), "offset")
+    at = records.where((F.col("type") == BLOCK) & F.col("problem").isNull()).select(F.col("record").alias("ref"), "offset")
+    lengths = long.select(F.col("record").alias("owner"), "n")
     # in a bulk segment the number is the place
-    placed = blocks.join(at, "ref", "left").select("owner", "position", F.substring_index("ref", ":", 1).alias("segment"), F.coalesce("offset", F.substring_index("ref", ":", -1).cast("int")).alias("offset"))
+    segment = F.substring_index("ref", ":", 1)
+    offset = F.coalesce("offset", F.when(v.segment_kind(segment) == "bulk", F.substring_index("ref", ":", -1).cast("int")))
+    placed = blocks.join(at, "ref", "left").select("owner", "position", segment.alias("segment"), offset.alias("offset")).join(lengths, "owner")
     start = F.octet_length("content") - VIRTUAL_SIZE + F.col("offset") + 1
-    bytes_ = placed.join(segments.select("segment", "content"), "segment").select("owner", F.struct("position", F.substring(F.col("content"), start, F.lit(BLOCK_SIZE)).alias("b")).alias("p"))
-    whole = bytes_.groupBy("owner").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    size = F.least(F.lit(BLOCK_SIZE), F.col("n") - F.col("position") * BLOCK_SIZE).cast("int")
+    bytes_ = placed.join(segments.select("segment", "content"), "segment").where(start > 0).select("owner", "n", F.struct("position", F.substring(F.col("content"), start, size).alias("b")).alias("p"))
+    whole = bytes_.groupBy("owner", "n").agg(F.array_sort(F.collect_list("p")).alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["b"]))
-    lengths = long.select(F.col("record").alias("owner"), "n")
-    long_texts = whole.join(lengths, "owner").select(F.col("owner").alias("record"), F.substring(joined, F.lit(1), F.col("n").cast("int")).cast("string").alias("text"), F.col("n").alias("length"), F.lit(False).alias("external"))
-    by_record = values.where(F.col("text").isNull() & F.col("n").isNull()).select("record", F.col("refs")[0].alias("id_record"))
-    external = by_record.join(short.select(F.col("record").alias("id_record"), "text"), "id_record").select("record", "text", F.lit(None).cast("bigint").alias("length"), F.lit(True).alias("external"))
+    long_texts = whole.select(F.col("owner").alias("record"), joined.alias("raw"), "n").select("record", F.col("raw").cast("string").alias("text"), F.col("n").alias("length"), F.lit(False).alias("external"), F.octet_length("raw").cast("bigint").alias("octets"))
+    by_record = values.where(F.col("text").isNull() & F.col("n").isNull()).select("record", F.get("refs", F.lit(0)).alias("id_record"))
+    names = short.unionByName(long_texts).where("not external and octets = length")
+    external = by_record.join(names.select(F.col("record").alias("id_record"), "text"), "id_record").select("record", "text", F.lit(None).cast("bigint").alias("length"), F.lit(True).alias("external"), F.lit(None).cast("bigint").alias("octets"))
     return short.unionByName(long_texts).unionByName(external)
 
 
-def expand_maps(maps: DataFrame, records: DataFrame, names: DataFrame) -> DataFrame:
-    """``owner``, ``name`` and ``value`` (a key) of the entries of maps, given by ``owner`` and ``ref``.
+def open_maps(maps: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of maps, given by ``owner`` and ``ref``, as keys of records with the ``age`` of their overlay; and the ``owner`` of every part that can't be read.
 
-    Branches are opened level by level; an overlaid entry wins over its base.
+    Branches are opened level by level.
     """
-    parts = records.where(F.col("type").isin(MAP_LEAF, MAP_BRANCH)).select(F.col("record").alias("ref"), "n", "refs", "ints")
+    parts = records.where(F.col("type").isin(MAP_LEAF, MAP_BRANCH) & F.col("problem").isNull()).select(F.col("record").alias("ref"), "n", "refs", "ints")
     state = cut(maps.select("owner", "ref", F.lit(0).alias("age")))
-    found = None
+    found, lost = state.select("owner", "age", F.struct(F.lit("").alias("k"), F.lit("").alias("v")).alias("e")).limit(0), state.select("owner").limit(0)
     while not state.isEmpty():
-        at = cut(state.join(parts, "ref"))
+        at = cut(state.join(parts, "ref", "left"))
+        lost = lost.unionByName(at.where("n is null").select("owner"))
         leaf = at.where((F.col("n") >= 0) & (F.get("ints", F.lit(0)) == 0))
         pairs = F.transform(F.sequence(F.lit(0), (F.size("refs") / 2 - 1).cast("int")), lambda k: F.struct(F.get("refs", k * 2).alias("k"), F.get("refs", k * 2 + 1).alias("v")))
         entries = leaf.where(F.size("refs") > 0).select("owner", "age", F.explode(pairs).alias("e"))
         overlay = at.where("n = -1").select("owner", "age", F.struct(F.get("refs", F.lit(0)).alias("k"), F.get("refs", F.lit(1)).alias("v")).alias("e"))
-        entries = entries.unionByName(overlay)
-        found = entries if found is None else found.unionByName(entries)
+        found = found.unionByName(entries.unionByName(overlay))
         branch = at.where((F.col("n") >= 0) & (F.get("ints", F.lit(0)) == 1)).select("owner", F.explode("refs").alias("ref"), "age")
         base = at.where("n = -1").select("owner", F.get("refs", F.lit(2)).alias("ref"), (F.col("age") + 1).alias("age"))
         state = cut(branch.unionByName(base))
-    if found is None:
-        return maps.select("owner", F.lit("").alias("name"), F.col("ref").alias("value")).limit(0)
-    named = found.select("owner", "age", F.col("e.k").alias("record"), F.col("e.v").alias("value")).join(names.select("record", F.col("text").alias("name")), "record")
+    return found.select("owner", "age", F.col("e.k").alias("record"), F.col("e.v").alias("value")), lost.distinct()
+
+
+def expand_maps(entries: DataFrame, names: DataFrame) -> DataFrame:
+    """``owner``, ``name`` and ``value`` (a key) of opened maps; an overlaid entry wins over its base."""
+    named = entries.join(names.select("record", F.col("text").alias("name")), "record")
     return named.groupBy("owner", "name").agg(F.min(F.struct("age", "value")).alias("m")).select("owner", "name", F.col("m.value").alias("value"))
 
 
@@ -234,12 +255,44 @@ class Decoded:
             )
         )
 
+    @cached_property
+    def maps(self) -> tuple[DataFrame, DataFrame]:
+        return open_maps(self.nodes.where("arity = 2").select(F.col("node").alias("owner"), F.col("child").alias("ref")), self.records)
+
     def children(self) -> DataFrame:
         """``owner``, ``name`` and ``value``, the child's record."""
-        many = expand_maps(self.nodes.where("arity = 2").select(F.col("node").alias("owner"), F.col("child").alias("ref")), self.records, self.texts)
+        many = expand_maps(self.maps[0], self.texts)
         single = self.nodes.where("arity = 1").select(F.col("node").alias("owner"), F.get("t", (F.col("primary") + F.col("mixins")).cast("int")).alias("record"), F.col("child").alias("value"))
         return many.unionByName(single.join(self.texts.select("record", F.col("text").alias("name")), "record").select("owner", "name", "value"))
 
+    def soundness(self) -> DataFrame:
+        """Each ``node`` that has a template, and whether its ``shape``, its ``values`` and its ``entries`` can all be read.
+
+        The shape is the template with its names; values are all slots, elements
+        of lists and blocks of long values; entries are all parts of the child
+        map and the children's names.  Whether the children themselves are there
+        is for who walks the tree to say.  Texts of numbers aren't parsed.
+        """
+        good = self.texts.where("external or octets = length").select(F.col("record").alias("ref"))
+        full = lambda rows: rows.join(good, "ref", "left_semi").groupBy("owner").agg(F.count(F.lit(1)).alias("have"))
+        t = self.nodes.dropDuplicates(["template"])
+        first = F.col("primary") + F.col("mixins") + (F.col("arity") == 1).cast("int")
+        fixed = t.select("template", F.explode(F.slice("t", F.lit(1), first.cast("int"))).alias("ref")).join(good, "ref", "left_anti").select("template")
+        slots = expand_lists(t.where("count > 0").select(F.col("template").alias("owner"), F.get("t", first.cast("int")).alias("ref"), F.col("count").alias("n")), self.records)
+        known = F.forall("types", lambda x: F.abs(x).isin(list(PROPERTY_TYPES)))
+        named = t.join(full(slots).withColumnRenamed("owner", "template"), "template", "left").where((F.coalesce("have", F.lit(0)) != F.col("count")) | ~known).select("template")
+        misshapen = fixed.unionByName(named).distinct().withColumn("shape", F.lit(False))
+        lists = self.records.where((F.col("type") == LIST) & F.col("problem").isNull()).select(F.col("record").alias("owner"), F.get("refs", F.lit(0)).alias("ref"), "n")
+        whole = lists.select("owner", "n").join(full(expand_lists(lists, self.records)), "owner", "left").where(F.coalesce("have", F.lit(0)) == F.col("n")).select(F.col("owner").alias("ref"))
+        n = self.nodes.where("count > 0")
+        held = expand_lists(n.select(F.col("node").alias("owner"), F.col("values").alias("ref"), F.col("count").alias("n")), self.records)
+        held = held.join(n.select(F.col("node").alias("owner"), "types"), "owner").withColumn("signed", F.get("types", F.col("position").cast("int")))
+        fine = held.where("signed > 0").join(good, "ref", "left_semi").unionByName(held.where("signed < 0").join(whole, "ref", "left_semi")).groupBy("owner").agg(F.count(F.lit(1)).alias("have"))
+        entries, lost = self.maps
+        lost = lost.unionByName(entries.join(good.withColumnRenamed("ref", "record"), "record", "left_anti").select("owner")).distinct().withColumn("entries", F.lit(False))
+        out = self.nodes.select("node", "template", "count").join(misshapen, "template", "left").join(fine.withColumnRenamed("owner", "node"), "node", "left").join(lost.withColumnRenamed("owner", "node"), "node", "left")
+        return out.select("node", F.coalesce("shape", F.lit(True)).alias("shape"), (F.coalesce("have", F.lit(0)) == F.col("count")).alias("values"), F.coalesce("entries", F.lit(True)).alias("entries"))
+
     def properties(self) -> DataFrame:
         """``node``, ``name``, ``type`` (a tag), ``multiple``, ``position`` (null: empty list) and the value's ``text``, ``length`` and ``external``.
 

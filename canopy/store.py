@@ -231,19 +231,79 @@ class ContentStore:
         order = [F.desc_nulls_last("written_ms"), F.desc(values.signed_half(F.col("segment"), True)), F.desc(values.signed_half(F.col("segment"), False)), F.desc("number")]
         return at.join(self.segment_times(), "segment", "left").orderBy(*order).select("node", "written_ms")
 
-    def consistent(self, top: str) -> bool:
-        """Whether all that a super-root reaches, its checkpoints too, is there."""
-        reached = self._tree(top).select("node").distinct()
-        return reached.join(self._decoded.nodes.select("node"), "node", "left_anti").isEmpty()
+    @cached_property
+    def _soundness(self) -> DataFrame:
+        return cut(self._decoded.soundness())
+
+    def _verified(self, roots: Sequence[str]) -> DataFrame:
+        """``tree`` (the place in ``roots``), ``path``, ``shallow`` and ``sound`` of all that the roots reach, a level at a time.
+
+        A node is shallowly sound if its template and values can be read, and sound
+        if its child map can be read too and it doesn't stand inside itself.
+        """
+        columns = "tree int, path string, node string, above array<string>"
+        level, done = self.spark.createDataFrame([(k, "/", r, []) for k, r in enumerate(roots)], columns), None
+        while not level.isEmpty():
+            circle = F.array_contains("above", F.col("node"))
+            shallow = F.coalesce(F.col("shape") & F.col("values"), F.lit(False))
+            at = level.join(self._soundness, "node", "left").select("tree", "path", shallow.alias("shallow"), (shallow & F.col("entries") & ~circle).alias("sound"))
+            done = at if done is None else done.unionByName(at)
+            up = level.where(~circle).select("tree", F.col("node").alias("owner"), F.col("path").alias("parent_path"), F.array_append("above", F.col("node")).alias("above"))
+            path = F.concat(F.when(F.col("parent_path") == "/", "").otherwise(F.col("parent_path")), F.lit("/"), F.col("name"))
+            level = cut(self._children.join(up, "owner").select("tree", path.alias("path"), F.col("value").alias("node"), "above"))
+        return cut(done)
+
+    def _trees_hold(self, roots: Sequence[str], memory: list[str]) -> bool:
+        """Whether the trees are sound and have all paths of ``memory``; the first unsound path is added to it."""
+        if not roots:
+            return True
+        rows = self._verified(roots)
+        probed = {(r.tree, r.path) for r in rows.where(F.col("path").isin(memory) & F.col("shallow")).select("tree", "path").collect()}
+        # in the order of the child maps, a node ahead of what is below it
+        names = F.filter(F.split("path", "/"), lambda n: n != "")
+        order = F.struct(F.transform(names, lambda n: F.struct(values.map_hash(n).alias("hash"), n.alias("name"))).alias("names"), "path")
+        broken = {r.tree: r.m.path for r in rows.where(~F.col("sound")).groupBy("tree").agg(F.min(order).alias("m")).collect()}
+        for k in range(len(roots)):
+            if any((k, path) not in probed for path in memory):
+                return False
+            if k in broken:
+                memory.append(broken[k])
+                return False
+        return True
+
+    def consistent(self, top: str, memory: list[str] | None = None) -> bool:
+        """Whether all that a super-root's content and its checkpoints' content reach can be read.
+
+        Every part of a child map, name, template, property, value and block must
+        be there; metadata of checkpoints isn't looked at, and a number whose text
+        doesn't parse counts as read (``check`` lists it).  ``memory`` holds paths
+        found broken in newer super-roots: each must exist and be readable in every
+        tree, or the super-root is turned down.  What is found here is added to it.
+        """
+        memory = [] if memory is None else memory
+        shaped = self._soundness.where("shape").select(F.col("node").alias("owner"), "entries")
+        inside = self._children.join(shaped, "owner")
+        under = {r.name: r.value for r in inside.where((F.col("owner") == top) & F.col("name").isin("root", "checkpoints")).select("name", "value").collect()}
+        if "root" not in under or not self._trees_hold([under["root"]], memory) or "checkpoints" not in under:
+            return False
+        held = under["checkpoints"]
+        if shaped.where((F.col("owner") == held) & F.col("entries")).isEmpty():
+            return False
+        snapshots = inside.where("name = 'root'").select(F.col("owner").alias("point"), F.col("value").alias("root"))
+        points = inside.where(F.col("owner") == held).select(values.map_hash(F.col("name")).alias("place"), "name", F.col("value").alias("point")).join(snapshots, "point", "left")
+        roots = [r.root for r in points.orderBy("place", "name").collect()]
+        present = roots[: roots.index(None)] if None in roots else roots
+        return self._trees_hold(present, memory) and len(present) == len(roots)
 
     def recovered_journal(self) -> list[str]:
         """Revisions for a new journal, newest first: the newest inconsistent candidates are left out, older ones are kept unverified.
 
+        Paths that are broken in one candidate are looked at first in the older ones.
         Candidates come to the driver, one per commit, as a journal's lines do.
         """
-        found = [r.node for r in self.super_roots().collect()]
+        found, memory = [r.node for r in self.super_roots().collect()], []
         for k, top in enumerate(found):
-            if self.consistent(top):
+            if self.consistent(top, memory):
                 return found[k:]
         return []
 

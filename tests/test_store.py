@@ -120,3 +120,62 @@ def test_damage(spark, directory, tmp_path):
     archive(tmp_path / "data00000.tar", [t])
     with pytest.raises(FormatError):
         archives.select_archives(str(tmp_path))
+
+
+def saved(spark, directory, *segments):
+    directory.mkdir()
+    archive(directory / "data00000a.tar", list(segments))
+    (directory / "manifest").write_text("store.version=2\n")
+    (directory / "journal.log").write_text("")
+    return ContentStore.open(spark, str(directory))
+
+
+def super_root(s, content, **more):
+    points = s.node({"cp": s.node({"root": s.node({"content": content})}, [("created", 3, s.text("5"))])})
+    top = s.node({"root": s.node({"content": content, **more}), "checkpoints": points})
+    return f"{top[0]}:{top[1]}"
+
+
+def lost_branch(s, lost, bulk):
+    return s.node(child_map=lost.map_of({f"n{k}": s.node() for k in range(40)}))
+
+
+def lost_name(s, lost, bulk):
+    return s.node(child_map=s.overlay("a", s.node(), s.add(0, s_leaf(s, lost))))
+
+
+def s_leaf(s, lost):
+    return b"\0\0\0\1" + b"\0\0\0\0" + s.ref(lost.text("child")) + s.ref(s.node())
+
+
+CUTS = {
+    "branch": lost_branch,
+    "name": lost_name,
+    "value": lambda s, lost, bulk: s.node(properties=[("p", 1, lost.text("x"))]),
+    "element": lambda s, lost, bulk: s.node(properties=[("p", -1, [s.text("x"), lost.text("y")])]),
+    "list": lambda s, lost, bulk: s.node(properties=[("p", 1, lost.counted([])), ("q", 1, s.text("x"))]),
+    "block": lambda s, lost, bulk: s.node(properties=[("p", 2, s.long_text("z" * 20_000, bulk))]),
+    "child": lambda s, lost, bulk: s.node({"x": lost.node()}),
+    "nothing": lambda s, lost, bulk: s.node(properties=[("p", 2, s.text("x")), ("q", -1, [])], primary="t", mixins=["m"]),
+}
+
+
+def test_consistency_of_damaged_stores(spark, tmp_path):
+    """Each head reaches something in a segment that is lost, but for one."""
+    s = Segment(data_id(1))
+    tops = {cut: super_root(s, make(s, Segment(data_id(8)), Bulk(bulk_id(9)))) for cut, make in CUTS.items()}
+    store = saved(spark, tmp_path / "s", s)
+    assert {cut: store.consistent(top) for cut, top in tops.items()} == {cut: cut == "nothing" for cut in CUTS}
+
+
+def test_recovery_remembers_broken_paths(spark, tmp_path):
+    """A head from before the broken node was made doesn't have it, so it doesn't count as whole; one that can read it does."""
+    lost = Segment(data_id(8))
+    segments = [Segment(data_id(k)) for k in range(1, 5)]
+    tops = []
+    for k, s in enumerate(segments):
+        more = {} if k == 0 else {"late": s.node(properties=[("p", 1, (lost if k == 3 else s).text("x"))])}
+        content = s.node({"late": more["late"]}) if more else s.node()
+        tops.append(super_root(s, content))
+    assert saved(spark, tmp_path / "a", segments[0], segments[3]).recovered_journal() == []
+    assert saved(spark, tmp_path / "b", *segments).recovered_journal() == [tops[2], tops[1], tops[0]]
