@@ -24,10 +24,15 @@ def canonical_text(value: Column, long_value: Column, double_value: Column, bool
     return F.coalesce(value, long_value.cast("string"), double_value.cast("string"), boolean_value.cast("string"))
 
 
-def value_identity(value: Column, long_value: Column, double_value: Column, boolean_value: Column, binary_length: Column, binary_reference: Column) -> Column:
-    """Equal for equal values only, types aside: zeros differ by sign, NaN equals NaN."""
+def value_identity(value: Column, long_value: Column, double_value: Column, boolean_value: Column, binary_length: Column, binary_reference: Column, binary_sha256: Column | None = None) -> Column:
+    """Equal for equal values only, types aside: zeros differ by sign, NaN equals NaN.
+
+    Inline binaries are told apart by their bytes only if a digest of these is given, else by their length.
+    """
+    length = F.concat(F.lit("#"), binary_length.cast("string"))
+    inline = length if binary_sha256 is None else F.concat(length, F.coalesce(F.concat(F.lit(":"), binary_sha256), F.lit("")))
     return F.coalesce(
-        F.concat(F.lit("="), canonical_text(value, long_value, double_value, boolean_value)), F.concat(F.lit("#"), binary_length.cast("string")), F.concat(F.lit("@"), binary_reference)
+        F.concat(F.lit("="), canonical_text(value, long_value, double_value, boolean_value)), inline, F.concat(F.lit("@"), binary_reference)
     )
 
 

@@ -32,7 +32,7 @@ def changed_rows(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFr
     """
     from canopy.operators.common import row_digest
 
-    columns = ["property_type", "multiple", "position", *VALUE_COLUMNS]
+    columns = ["property_type", "multiple", "position", *VALUE_COLUMNS, *(c for c in before.columns if c == "binary_sha256")]
     sign = F.col("double_value").cast("string").alias("double_value")
 
     def digests(df: DataFrame, side: int) -> DataFrame:
@@ -52,9 +52,13 @@ def property_changes(before: DataFrame, after: DataFrame, before_nodes: DataFram
 
     A property that is single, one that is multiple with one value, and one of
     another type differ; empty multiple properties of different types differ.
-    Doubles compare as texts: zeros differ by sign and NaN equals NaN.  With the
-    nodes given, only properties of nodes on both sides count.
+    Doubles compare as texts: zeros differ by sign and NaN equals NaN.  Inline
+    binaries compare by ``binary_sha256`` if both sides have that column, else
+    only by their length.  With the nodes given, only properties of nodes on both
+    sides count.
     """
+    if "binary_sha256" not in before.columns or "binary_sha256" not in after.columns:
+        before, after = before.drop("binary_sha256"), after.drop("binary_sha256")
     old_rows, new_rows = changed_rows(before, after)
     a = group_values(old_rows).select("path", "name", F.struct("property_type", "multiple", "identities").alias("old"), F.col("texts").alias("old_texts"))
     b = group_values(new_rows).select("path", "name", F.struct("property_type", "multiple", "identities").alias("new"), F.col("texts").alias("new_texts"))

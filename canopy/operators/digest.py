@@ -20,13 +20,18 @@ def digest_lines(nodes: DataFrame, properties: DataFrame, without: Sequence[str]
     """``path`` and ``line`` of every node outside the subtrees ``without``.
 
     Lines are ordered by path on output, names in the order of their UTF-8 bytes.
-    A binary shows its length, or the id of the store that holds it.
+    A binary shows its length, the number of bytes read and their CRC-32, or the
+    id of the store that holds it.  Without the columns ``binary_octets`` and
+    ``binary_crc32`` (a table that only states lengths) it shows the length
+    twice, and other bytes of the same length don't show.
     """
     for other in without:
         keep = ~paths.within(F.col("path"), paths.normalize_text(other))
         nodes, properties = nodes.where(keep), properties.where(keep)
     text = values.canonical_text(*(F.col(c) for c in VALUE_COLUMNS[:4]))
-    shown = F.coalesce(values.escape_digest(text), F.concat(F.col("binary_length").cast("string"), F.lit("/"), F.col("binary_length").cast("string")), F.concat(F.lit("external:"), values.escape_digest(F.col("binary_reference"))))
+    length = F.col("binary_length").cast("string")
+    read = F.concat(F.col("binary_octets").cast("string"), F.lit("@"), F.col("binary_crc32")) if "binary_crc32" in properties.columns else length
+    shown = F.coalesce(values.escape_digest(text), F.concat(length, F.lit("/"), read), F.concat(F.lit("external:"), values.escape_digest(F.col("binary_reference"))))
     one = F.when(F.col("position").isNotNull(), F.struct("position", F.coalesce(shown, F.lit("")).alias("shown")))
     per_property = properties.groupBy("path", "name").agg(F.max("property_type").alias("t"), F.max("multiple").alias("m"), F.array_sort(F.collect_list(one)).alias("v"))
     rendered = F.concat(values.escape_digest(F.col("name")), F.lit("="), "t", F.when(F.col("m"), "[]").otherwise(""), F.lit(":"), F.array_join(F.col("v.shown"), "\x1f"))

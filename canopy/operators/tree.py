@@ -131,7 +131,7 @@ def group_values(properties: DataFrame) -> DataFrame:
     The values of one property of one node are collected; a marker row gives an
     empty list.
     """
-    identity = values.value_identity(*(F.col(c) for c in VALUE_COLUMNS))
+    identity = values.value_identity(*(F.col(c) for c in VALUE_COLUMNS), *(F.col(c) for c in properties.columns if c == "binary_sha256"))
     text = values.canonical_text(*(F.col(c) for c in VALUE_COLUMNS[:4]))
     one = F.when(F.col("position").isNotNull(), F.struct("position", identity.alias("identity"), text.alias("text")))
     grouped = properties.groupBy("path", "name").agg(F.max("property_type").alias("property_type"), F.max("multiple").alias("multiple"), F.array_sort(F.collect_list(one)).alias("v"))

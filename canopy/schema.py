@@ -35,6 +35,8 @@ PROPERTIES = _schema(
     "path string not null, name string not null, property_type string not null, multiple boolean not null, position int, value string, long_value bigint, double_value double, boolean_value boolean, binary_length bigint, binary_reference string"
 )
 VALUE_COLUMNS = ["value", "long_value", "double_value", "boolean_value", "binary_length", "binary_reference"]
+#: What only a reader of the bytes knows of inline binaries; operators use these columns where they are.
+CONTENT_COLUMNS = ["binary_octets", "binary_crc32", "binary_sha256"]
 #: The types of properties with their tags.
 PROPERTY_TYPES = {
     1: "String", 2: "Binary", 3: "Long", 4: "Double", 5: "Date", 6: "Boolean", 7: "Name", 8: "Path", 9: "Reference", 10: "WeakReference", 11: "URI", 12: "Decimal",

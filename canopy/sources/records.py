@@ -27,7 +27,7 @@ TYPE_NAMES = ["MapLeaf", "MapBranch", "ListBucket", "List", "Value", "Block", "T
 SMALL, MEDIUM, BLOCK_SIZE, BUCKET_SIZE, MOST_SPLIT_LEVEL = 128, 16_512, 4096, 255, 7
 DIFF_HEAD = 0xFFFFFFFF
 
-SCHEMA = "record string, segment string, record_number int, type int, offset int, text string, n bigint, refs array<string>, ints array<bigint>, problem string"
+SCHEMA = "record string, segment string, record_number int, type int, offset int, text string, n bigint, refs array<string>, ints array<bigint>, raw binary, problem string"
 
 
 class _Segment:
@@ -54,26 +54,30 @@ class _Segment:
     def keys(self, at: int, count: int) -> list[str]:
         return [self.key(at + 6 * k) for k in range(count)]
 
-    def inline(self, at: int, n: int) -> str:
+    def inline(self, at: int, n: int) -> tuple:
+        """The text, and the bytes where the text doesn't give them back."""
         raw = self.content[at : at + n]
         if len(raw) < n:
             raise FormatError("value ends early")
-        return raw.decode("utf-8", "replace")
+        text = raw.decode("utf-8", "replace")
+        return text, raw if "\ufffd" in text else None
 
     def value(self, at: int) -> tuple:
-        """Text, length, references and integers of a value: an inline text, a list of blocks, or an external id."""
+        """Text, length, references, integers and bytes of a value: an inline text, a list of blocks, or an external id."""
         c, first = self.content, self.content[at]
         if first < 0x80:
-            return self.inline(at + 1, first), first, [], [0]
+            text, raw = self.inline(at + 1, first)
+            return text, first, [], [0], raw
         if first < 0xC0:
             n = (struct.unpack(">H", c[at : at + 2])[0] & 0x3FFF) + SMALL
-            return self.inline(at + 2, n), n, [], [0]
+            text, raw = self.inline(at + 2, n)
+            return text, n, [], [0], raw
         if first < 0xE0:
             n = (struct.unpack(">Q", c[at : at + 8])[0] & ((1 << 61) - 1)) + MEDIUM
             return None, n, [self.key(at + 8)], [0]
         if first < 0xF0:
             n = struct.unpack(">H", c[at : at + 2])[0] & 0xFFF
-            return self.inline(at + 2, n), None, [], [1]
+            return self.inline(at + 2, n)[0], None, [], [1]
         if first < 0xF8:
             return None, None, [self.key(at + 1)], [1]
         raise FormatError("no value")
@@ -124,14 +128,14 @@ def decode_segment(segment: str, content: bytes) -> Iterator[tuple]:
     try:
         s = _Segment(segment, content)
     except (FormatError, struct.error, ValueError) as e:
-        yield f"{segment}:-1", segment, -1, -1, None, None, None, [], [], f"segment: {e}"
+        yield f"{segment}:-1", segment, -1, -1, None, None, None, [], [], None, f"segment: {e}"
         return
     for number, kind, offset in s.records:
         try:
-            text, n, refs, ints = s.decoded(kind, s.place(offset))
-            yield f"{segment}:{number}", segment, number, kind, offset, text, n, refs, ints, None
+            text, n, refs, ints, *raw = s.decoded(kind, s.place(offset))
+            yield f"{segment}:{number}", segment, number, kind, offset, text, n, refs, ints, raw[0] if raw else None, None
         except (FormatError, struct.error, ValueError, IndexError, KeyError) as e:
-            yield f"{segment}:{number}", segment, number, kind, offset, None, None, [], [], f"record: {e}"
+            yield f"{segment}:{number}", segment, number, kind, offset, None, None, [], [], None, f"record: {e}"
 
 
 def decode(segments: DataFrame) -> DataFrame:
@@ -183,13 +187,15 @@ def expand_lists(lists: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def texts(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """``record``, ``text``, ``length``, ``external`` and ``octets`` of every value; long texts are put together of their blocks.
+    """``record``, ``text``, ``length``, ``external``, ``octets`` and ``raw`` of every value; long texts are put together of their blocks.
 
     ``octets`` is the number of bytes really there: less than ``length`` where
-    blocks are missing or cut.
+    blocks are missing or cut; the text is null where all are missing.  ``raw``
+    has the bytes of short values that aren't UTF-8; other texts keep theirs.
     """
+    no_bytes = F.lit(None).cast("binary").alias("raw")
     values = records.where(F.col("type").isin(VALUE, BLOB_ID))
-    short = values.where(F.col("text").isNotNull()).select("record", "text", F.col("n").alias("length"), (F.col("ints")[0] == 1).alias("external"), F.col("n").alias("octets"))
+    short = values.where(F.col("text").isNotNull()).select("record", "text", F.col("n").alias("length"), (F.col("ints")[0] == 1).alias("external"), F.col("n").alias("octets"), "raw")
     long = values.where(F.col("text").isNull() & F.col("n").isNotNull())
     blocks = expand_lists(long.select(F.col("record").alias("owner"), F.col("refs")[0].alias("ref"), F.ceil(F.col("n") / BLOCK_SIZE).alias("n")), records)
     at = records.where((F.col("type") == BLOCK) & F.col("problem").isNull()).select(F.col("record").alias("ref"), "offset")
@@ -200,13 +206,14 @@ def texts(records: DataFrame, segments: DataFrame) -> DataFrame:
     placed = blocks.join(at, "ref", "left").select("owner", "position", segment.alias("segment"), offset.alias("offset")).join(lengths, "owner")
     start = F.octet_length("content") - VIRTUAL_SIZE + F.col("offset") + 1
     size = F.least(F.lit(BLOCK_SIZE), F.col("n") - F.col("position") * BLOCK_SIZE).cast("int")
-    bytes_ = placed.join(segments.select("segment", "content"), "segment").where(start > 0).select("owner", "n", F.struct("position", F.substring(F.col("content"), start, size).alias("b")).alias("p"))
-    whole = bytes_.groupBy("owner", "n").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    bytes_ = placed.join(segments.select("segment", "content"), "segment").where(start > 0).select("owner", F.struct("position", F.substring(F.col("content"), start, size).alias("b")).alias("p"))
+    whole = bytes_.groupBy("owner").agg(F.array_sort(F.collect_list("p")).alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["b"]))
-    long_texts = whole.select(F.col("owner").alias("record"), joined.alias("raw"), "n").select("record", F.col("raw").cast("string").alias("text"), F.col("n").alias("length"), F.lit(False).alias("external"), F.octet_length("raw").cast("bigint").alias("octets"))
+    long_texts = lengths.join(whole.select("owner", joined.alias("all")), "owner", "left")
+    long_texts = long_texts.select(F.col("owner").alias("record"), F.col("all").cast("string").alias("text"), F.col("n").alias("length"), F.lit(False).alias("external"), F.coalesce(F.octet_length("all"), F.lit(0)).cast("bigint").alias("octets"), no_bytes)
     by_record = values.where(F.col("text").isNull() & F.col("n").isNull()).select("record", F.get("refs", F.lit(0)).alias("id_record"))
     names = short.unionByName(long_texts).where("not external and octets = length")
-    external = by_record.join(names.select(F.col("record").alias("id_record"), "text"), "id_record").select("record", "text", F.lit(None).cast("bigint").alias("length"), F.lit(True).alias("external"), F.lit(None).cast("bigint").alias("octets"))
+    external = by_record.join(names.select(F.col("record").alias("id_record"), "text"), "id_record").select("record", "text", F.lit(None).cast("bigint").alias("length"), F.lit(True).alias("external"), F.lit(None).cast("bigint").alias("octets"), no_bytes)
     return short.unionByName(long_texts).unionByName(external)
 
 
@@ -234,7 +241,7 @@ def open_maps(maps: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame
 
 def expand_maps(entries: DataFrame, names: DataFrame) -> DataFrame:
     """``owner``, ``name`` and ``value`` (a key) of opened maps; an overlaid entry wins over its base."""
-    named = entries.join(names.select("record", F.col("text").alias("name")), "record")
+    named = entries.join(names, "record")
     return named.groupBy("owner", "name").agg(F.min(F.struct("age", "value")).alias("m")).select("owner", "name", F.col("m.value").alias("value"))
 
 
@@ -245,6 +252,7 @@ class Decoded:
         self.segments = segments
         self.records = cut(decode(segments))
         self.texts = cut(texts(self.records, segments))
+        self.names = self.texts.where("text is not null").select("record", F.col("text").alias("name"))
         templates = self.records.where(F.col("type") == TEMPLATE).select(F.col("record").alias("template"), F.col("refs").alias("t"), F.col("ints").alias("i"))
         nodes = self.records.where(F.col("type") == NODE).select(F.col("record").alias("node"), F.get("refs", F.lit(1)).alias("template"), F.col("refs").alias("r"))
         primary, mixins, arity, count = (F.col("i")[k] for k in range(4))
@@ -261,9 +269,9 @@ class Decoded:
 
     def children(self) -> DataFrame:
         """``owner``, ``name`` and ``value``, the child's record."""
-        many = expand_maps(self.maps[0], self.texts)
+        many = expand_maps(self.maps[0], self.names)
         single = self.nodes.where("arity = 1").select(F.col("node").alias("owner"), F.get("t", (F.col("primary") + F.col("mixins")).cast("int")).alias("record"), F.col("child").alias("value"))
-        return many.unionByName(single.join(self.texts.select("record", F.col("text").alias("name")), "record").select("owner", "name", "value"))
+        return many.unionByName(single.join(self.names, "record").select("owner", "name", "value"))
 
     def soundness(self) -> DataFrame:
         """Each ``node`` that has a template, and whether its ``shape``, its ``values`` and its ``entries`` can all be read.
@@ -294,17 +302,17 @@ class Decoded:
         return out.select("node", F.coalesce("shape", F.lit(True)).alias("shape"), (F.coalesce("have", F.lit(0)) == F.col("count")).alias("values"), F.coalesce("entries", F.lit(True)).alias("entries"))
 
     def properties(self) -> DataFrame:
-        """``node``, ``name``, ``type`` (a tag), ``multiple``, ``position`` (null: empty list) and the value's ``text``, ``length`` and ``external``.
+        """``node``, ``name``, ``type`` (a tag), ``multiple``, ``position`` (null: empty list) and the value's ``text``, ``length``, ``external`` and ``raw``.
 
         The types of a node come first, as properties of their own.
         """
-        text = self.texts.select("record", "text", "length", "external")
+        text = self.texts.select("record", "text", "length", "external", "raw")
         n = self.nodes.where("count > 0")
         # names belong to templates: they are read once per template, not per node
         t = n.select("template", "t", "types", "count", "arity", "primary", "mixins").dropDuplicates(["template"])
         first = (F.col("primary") + F.col("mixins") + (F.col("arity") == 1).cast("int")).cast("int")
         slots = expand_lists(t.select(F.col("template").alias("owner"), F.get("t", first).alias("ref"), F.col("count").alias("n")), self.records)
-        names = slots.join(text.select(F.col("record").alias("ref"), F.col("text").alias("name")), "ref").join(t.select(F.col("template").alias("owner"), "types"), "owner")
+        names = slots.join(self.names.withColumnRenamed("record", "ref"), "ref").join(t.select(F.col("template").alias("owner"), "types"), "owner")
         names = names.select(F.col("owner").alias("template"), F.col("position").alias("slot"), "name", F.get("types", F.col("position").cast("int")).alias("signed"))
         held = expand_lists(n.select(F.col("node").alias("owner"), F.col("values").alias("ref"), F.col("count").alias("n")), self.records)
         held = held.select(F.col("owner").alias("node"), F.col("position").alias("slot"), "ref").join(n.select("node", "template"), "node").join(names, ["template", "slot"])
@@ -317,14 +325,18 @@ class Decoded:
         mixed = self.nodes.where("mixins > 0").select("node", F.posexplode(F.slice("t", F.col("primary").cast("int") + 1, F.col("mixins").cast("int"))).alias("p", "ref"))
         mixed = mixed.select("node", F.lit("jcr:mixinTypes").alias("name"), F.lit(7).cast("bigint").alias("type"), F.lit(True).alias("multiple"), F.col("p").cast("bigint").alias("position"), "ref")
         rows = single.unionByName(multiple).unionByName(of_type).unionByName(mixed)
-        return rows.join(text.withColumnRenamed("record", "ref"), "ref", "left").select("node", "name", "type", "multiple", "position", "text", "length", "external")
+        return rows.join(text.withColumnRenamed("record", "ref"), "ref", "left").select("node", "name", "type", "multiple", "position", "text", "length", "external", "raw")
 
 
 def property_rows(properties: DataFrame) -> DataFrame:
-    """Decoded properties as value columns by their types; ``node`` stays for a path."""
+    """Decoded properties as value columns by their types; ``node`` stays for a path.
+
+    Inline binaries have their bytes' number, CRC-32 and SHA-256 besides, of what was really read.
+    """
     kinds = F.create_map(*(F.lit(x) for pair in PROPERTY_TYPES.items() for x in pair))
     kind = F.element_at(kinds, F.col("type").cast("int"))
     of = lambda *names: kind.isin(*names)
+    content, inline = F.coalesce("raw", F.col("text").cast("binary"), F.lit(b"")), of("Binary") & ~F.col("external")
     return properties.select(
         "node", "name", kind.alias("property_type"), "multiple", F.col("position").cast("int").alias("position"),
         F.when(~of("Long", "Double", "Boolean", "Binary"), F.col("text")).alias("value"),
@@ -333,4 +345,7 @@ def property_rows(properties: DataFrame) -> DataFrame:
         F.when(of("Boolean") & F.col("text").isNotNull(), F.lower("text") == "true").alias("boolean_value"),
         F.when(of("Binary") & ~F.col("external"), F.col("length")).alias("binary_length"),
         F.when(of("Binary") & F.col("external"), F.col("text")).alias("binary_reference"),
+        F.when(inline, F.octet_length(content)).cast("bigint").alias("binary_octets"),
+        F.when(inline, F.lpad(F.lower(F.hex(F.crc32(content))), 8, "0")).alias("binary_crc32"),
+        F.when(inline, F.sha2(content, 256)).alias("binary_sha256"),
     )

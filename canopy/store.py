@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from canopy.functions import paths, values
 from canopy.operators import checkpoints, diff, digest, gc, search, sinks, tree, versions
 from canopy.operators.common import cut
-from canopy.schema import FormatError, QueryError, violations
+from canopy.schema import CONTENT_COLUMNS, FormatError, QueryError, violations
 from canopy.sources import archives, journal, records
 
 
@@ -142,7 +142,7 @@ class ContentStore:
         return self.placed(revision, checkpoint).join(kinds, "node", "left").select("path", "parent_path", "name", "depth", "primary_type")
 
     def properties(self, revision: str = "head", checkpoint: str | None = None) -> DataFrame:
-        return self.placed(revision, checkpoint).select("path", "node").join(self._properties, "node").drop("node")
+        return self.placed(revision, checkpoint).select("path", "node").join(self._properties, "node").drop("node", *CONTENT_COLUMNS)
 
     def checkpoints(self) -> DataFrame:
         held = self._child(self.head(), "checkpoints")
@@ -195,7 +195,8 @@ class ContentStore:
         return at
 
     def digest(self, without: Sequence[str] = ()) -> DataFrame:
-        return digest.digest_lines(self.nodes(), self.properties(), without)
+        read = self.placed().select("path", "node").join(self._properties, "node").drop("node")
+        return digest.digest_lines(self.nodes(), read, without)
 
     def check(self) -> DataFrame:
         """``path`` and ``problem`` of the head's content, and of records that can't be read."""

@@ -1,5 +1,7 @@
 """Reading stores that an independent writer made."""
 
+import zlib
+
 import pytest
 from store_writer import Bulk, Segment, archive, bulk_id, data_id
 
@@ -179,3 +181,27 @@ def test_recovery_remembers_broken_paths(spark, tmp_path):
         tops.append(super_root(s, content))
     assert saved(spark, tmp_path / "a", segments[0], segments[3]).recovered_journal() == []
     assert saved(spark, tmp_path / "b", *segments).recovered_journal() == [tops[2], tops[1], tops[0]]
+
+
+class Raw(bytes):
+    def encode(self):
+        return bytes(self)
+
+
+def test_binaries_of_equal_length(spark, tmp_path):
+    """Other bytes of the same length are a change, and a digest shows what was read."""
+    old, new, bulk, lost = Segment(data_id(1)), Segment(data_id(2)), Bulk(bulk_id(3)), Bulk(bulk_id(4))
+    small, large = (Raw(b"\xff\x01"), Raw(b"\xfe\x01")), (Raw(b"\xf0" * 20_000), Raw(b"\xf1" * 20_000))
+    same = Raw(bytes(range(256)))
+    rows = lambda s, k: [("small", 2, s.text(small[k])), ("large", 2, s.long_text(large[k], bulk)), ("same", 2, s.text(same))]
+    first = super_root(old, old.node(properties=rows(old, 0)))
+    second = super_root(new, new.node(properties=[*rows(new, 1), ("gone", 2, new.long_text(large[1], lost))]))
+    store = saved(spark, tmp_path / "s", old, new, bulk)
+    (tmp_path / "s" / "journal.log").write_text(f"{first} root 1\n{second} root 2\n")
+    changed = {(r.name, r.change) for r in store.difference(first, second)[1].collect()}
+    assert changed == {("small", "changed"), ("large", "changed"), ("gone", "added")}
+    line = store.digest().where("path = '/content'").first().line
+    shown = {p.partition("=")[0]: p.partition(":")[2] for p in line.split("\t")[1:]}
+    crc = lambda raw: f"{len(raw)}/{len(raw)}@{zlib.crc32(raw):08x}"
+    assert shown == {"small": crc(small[1]), "large": crc(large[1]), "same": crc(same), "gone": "20000/0@00000000"}
+    assert "binary_crc32" not in store.properties().columns
