@@ -152,8 +152,17 @@ def exploded_binaries(s, d):
 
 @query(T(f"""select n.path, '{{"path":"' || n.path || '"' as start, count(distinct p.name) as properties from n left join p on p.path = n.path where not regexp_matches(n.path, '[\\x00-\\x1f"\\\\]') group by n.path"""))
 def json_lines_shape(s, d):
-    plain = m.nodes(s, d).where(~F.col("path").rlike(r'[\x00-\x1f"\\]'))
-    lines = sinks.json_lines(plain, m.properties(s, d))
+    """Only paths that SQL needn't escape; ``json_lines_shape_all`` has the rest too."""
+    return _json_shapes(m.nodes(s, d).where(~F.col("path").rlike(r'[\x00-\x1f"\\]')), m.properties(s, d))
+
+
+@query()
+def json_lines_shape_all(s, d):
+    return _json_shapes(m.nodes(s, d), m.properties(s, d))
+
+
+def _json_shapes(nodes: DataFrame, properties: DataFrame) -> DataFrame:
+    lines = sinks.json_lines(nodes, properties)
     n = F.size(F.json_object_keys(F.get_json_object("line", "$.properties")))
     return lines.select("path", F.substring_index("line", ',"properties":', 1).alias("start"), n.cast("bigint").alias("properties"))
 
@@ -214,10 +223,16 @@ def path_functions(s, d):
 
 @query(T(f"select path, name, position, {TEXT_SQL} as text from p where double_value is null or isnan(double_value) or isinf(double_value) or abs(double_value) between 1e-3 and 9999999"))
 def canonical_text(s, d):
+    """Only doubles that SQL prints alike; ``canonical_text_all`` has the rest too."""
     p = m.properties(s, d).where("double_value is null or isnan(double_value) or abs(double_value) = double('Infinity') or abs(double_value) between 1e-3 and 9999999")
     return p.select("path", "name", "position", values.canonical_text(*(F.col(c) for c in VALUE_COLUMNS[:4])).alias("text"))
 
 
+@query()
+def canonical_text_all(s, d):
+    return m.properties(s, d).select("path", "name", "position", values.canonical_text(*(F.col(c) for c in VALUE_COLUMNS[:4])).alias("text"))
+
+
 @query(T("select distinct property_type, t.id as tag from p join property_types t on t.name = p.property_type"))
 def type_tags(s, d):
     known = table(s, d, "property_types").select(F.col("name").alias("property_type"))
@@ -231,7 +246,13 @@ def digest_escape(s, d):
 
 @query(T("select distinct name, list_reduce(list_prepend(0::bigint, list_transform(string_split(name, ''), lambda c: unicode(c)::bigint)), lambda h, u: (h * 31 + u) % 4294967296) as unsigned_hash from p where regexp_full_match(name, '[ -~]+')"))
 def java_string_hash(s, d):
-    names = m.properties(s, d).select("name").distinct().where(F.col("name").rlike(r"\A[ -~]+\z"))
+    """Only names whose characters are their UTF-16 units; ``java_string_hash_all`` has the rest too."""
+    return java_string_hash_all(s, d).where(F.col("name").rlike(r"\A[ -~]+\z"))
+
+
+@query()
+def java_string_hash_all(s, d):
+    names = m.properties(s, d).select("name").distinct()
     return names.select("name", F.pmod(values.string_hash(F.col("name")), F.lit(2**32)).alias("unsigned_hash"))
 
 
@@ -290,7 +311,16 @@ def crc32_of_values(s, d):
 
 @query(T("select path, name, position, row_number() over (order by value, path, name, position) as place from p where value is not null and regexp_full_match(value, '[ -~]*')"))
 def utf16_order(s, d):
-    p = m.properties(s, d).where(F.col("value").rlike(r"\A[ -~]*\z"))
+    """Only values that SQL orders alike; ``utf16_order_all`` has the rest too."""
+    return _utf16_places(m.properties(s, d).where(F.col("value").rlike(r"\A[ -~]*\z")))
+
+
+@query()
+def utf16_order_all(s, d):
+    return _utf16_places(m.properties(s, d).where(F.col("value").isNotNull()))
+
+
+def _utf16_places(p: DataFrame) -> DataFrame:
     order = Window.orderBy(F.encode("value", "UTF-16BE"), "path", "name", "position")
     return p.select("path", "name", "position", F.row_number().over(order).cast("bigint").alias("place"))
 
@@ -443,11 +473,17 @@ _LINES = f"""select n.path, n.path || coalesce(chr(9) || x.text, '') as line fro
 
 @query(T(f"select path, md5(line) as digest from ({_LINES}) where path not in (select path from p where abs(double_value) >= 9999999 or abs(double_value) < 1e-3 or contains(name, chr(9)) or contains(name, chr(10)))"))
 def digest_lines(s, d):
+    """Only nodes whose doubles and names SQL prints alike; ``digest_lines_all`` has the rest too."""
     p = m.properties(s, d)
     odd = p.where("(not isnan(double_value) and abs(double_value) <> double('Infinity') and abs(double_value) >= 9999999) or abs(double_value) < 1e-3 or isnan(double_value) or abs(double_value) = double('Infinity') or name like '%\\t%' or name like '%\\n%'").select("path").distinct()
     return digest.digest_lines(m.nodes(s, d), p).join(odd, "path", "left_anti").select("path", F.md5("line").alias("digest"))
 
 
+@query()
+def digest_lines_all(s, d):
+    return digest.digest_lines(m.nodes(s, d), m.properties(s, d)).select("path", F.md5("line").alias("digest"))
+
+
 @query(T("""select (select count(*) from n) as nodes, count(distinct (path, name)) as properties, count(*) filter (binary_length is not null or binary_reference is not null) as binaries, coalesce(sum(binary_length), 0)::bigint as binary_bytes from p"""))
 def digest_summary(s, d):
     return digest.digest_summary(m.nodes(s, d), m.properties(s, d))
