@@ -10,6 +10,8 @@ from canopy.schema import FormatError
 
 #: Levels of a tree beyond which parents must run in circles.
 MOST_LEVELS = 100_000
+#: Types beyond which their table isn't broadcast.
+MOST_TYPES = 64
 
 
 def dictionary(nodes: DataFrame, properties: DataFrame) -> DataFrame:
@@ -40,11 +42,13 @@ def with_ids(strings: DataFrame) -> DataFrame:
 def expand(properties: DataFrame, strings: DataFrame, types: DataFrame, paths: DataFrame) -> DataFrame:
     """Interned property rows with their texts: ``path``, ``name``, ``property_type``, ``value`` and the rest.
 
-    The types are fixed and few.  Names, values and references are looked up
+    The types are fixed and few: more than MOST_TYPES raise FormatError.  Names, values and references are looked up
     safely against hot ids; a missing name or node drops the row, a missing value
     is null.
     """
-    p = properties.join(F.broadcast(types.select(F.col("id").alias("type_id"), F.col("name").alias("property_type")).limit(64)), "type_id")
+    if types.limit(MOST_TYPES + 1).count() > MOST_TYPES:
+        raise FormatError(f"more than {MOST_TYPES} types")
+    p = properties.join(F.broadcast(types.select(F.col("id").alias("type_id"), F.col("name").alias("property_type"))), "type_id")
     spread = ["node_id", "position"]
     p = lookup(p, strings, "name_id", "id", "value", "name", spread, count_on=properties)
     p = lookup(p, strings, "value_id", "id", "value", "value", spread, count_on=properties)

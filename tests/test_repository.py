@@ -218,6 +218,17 @@ def test_sqlite_and_lines(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "lines")).count() == 3
 
 
+def test_types_beyond_the_bound(spark):
+    """Rows of types beyond the bound aren't lost in silence."""
+    types = spark.range(interned.MOST_TYPES + 6).selectExpr("cast(id as int) id", "concat('t', id) name")
+    strings = spark.createDataFrame([(1, "n")], "id bigint, value string")
+    rows = types.selectExpr("1L node_id", "1L name_id", "id type_id", "0 multiple", "id position", "1L value_id", "cast(null as bigint) binary_reference_id")
+    nodes = spark.createDataFrame([(1, "/")], "id bigint, path string")
+    with pytest.raises(schema.FormatError):
+        interned.expand(rows, strings, types, nodes)
+    assert interned.expand(rows, strings, types.where(f"id < {interned.MOST_TYPES}"), nodes).count() == interned.MOST_TYPES
+
+
 def test_interned(spark):
     n, p = every_shape(spark)
     ids = {r.value: r.id for r in interned.with_ids(interned.dictionary(n, p)).collect()}
