@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -73,12 +74,20 @@ def lookup(
         .drop("__salt", "__zero", "__k", "__hot", "__hot_value")
     )
 
+
 def cut(df: DataFrame) -> DataFrame:
-    """The DataFrame without its lineage, in the checkpoint folder that executors share."""
+    """The DataFrame without its lineage, in the checkpoint folder that executors share.
+
+    The folder is the one that ``spark.checkpoint.dir`` names.  Where it is unset,
+    a local session gets a folder of its own; on a cluster, whose executors
+    couldn't read that, RuntimeError.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="canopy-"))
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+            folder = tempfile.mkdtemp(prefix="canopy-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

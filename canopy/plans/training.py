@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.operators.eager import eager_join_aggregate, heavy_keys
+from canopy.operators.eager import eager_join_aggregate, heavy_keys, roll_up
 from canopy.operators.snapshots import snapshot_changes
 from canopy.operators.structural import load_lines
 from canopy.operators.wide import read_attributes, to_wide
@@ -56,11 +56,13 @@ def p4_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _children(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes joined with their parents, by parent."""
     nodes = table(spark, d, "interned_nodes")
     return eager_join_aggregate(nodes, nodes, "parent_id", "id", how="left")
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Properties joined with the strings that name them, by name."""
     return eager_join_aggregate(table(spark, d, "interned_properties"), table(spark, d, "interned_strings"), "name_id", "id", how="left")
 
 
@@ -73,18 +75,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Children of every parent and rows of every property name."""
-    pick = lambda df, field: df.where(F.col("key").isNotNull()).select(F.lit(field).alias("field"), F.col("key").alias("key_id"), F.col("left_rows").alias("n_rows"))
+    """Per parent its children, per property name its rows, and the rows that these make joined with the parents and the names."""
+    columns = F.col("key").alias("key_id"), F.col("left_rows").alias("n_rows"), F.col("right_rows").alias("partners"), F.col("joined_rows").cast("bigint").alias("joined_rows")
+    pick = lambda df, field: df.where(F.col("key").isNotNull()).select(F.lit(field).alias("field"), *columns)
     return pick(_children(spark, d), "parent_id").unionByName(pick(_names(spark, d), "name_id"))
 
 
 def p5_parent_load(spark: SparkSession, d: str) -> DataFrame:
     """Property rows of the children of every parent: joined by node, rolled up by parent."""
-    nodes = table(spark, d, "interned_nodes").select("id", "parent_id")
-    per_node = eager_join_aggregate(nodes, table(spark, d, "interned_properties"), "id", "node_id", left_sums={"parent_sum": F.col("parent_id")}, how="left")
-    # ids are unique: the sum over a node's joined rows is its parent, once per row
-    parent = (F.col("parent_sum") / F.col("joined_rows")).cast("bigint")
-    return per_node.where(F.col("parent_sum").isNotNull()).groupBy(parent.alias("parent_id")).agg(F.count(F.lit(1)).alias("children"), F.sum("right_rows").alias("property_rows"))
+    per_node = parent_load(table(spark, d, "interned_nodes"), table(spark, d, "interned_properties"))
+    return per_node.select("parent_id", F.col("keys").alias("children"), F.col("property_rows").cast("bigint").alias("property_rows"))
+
+
+def parent_load(nodes: DataFrame, properties: DataFrame) -> DataFrame:
+    """``parent_id``, ``keys`` (its different children) and ``property_rows``."""
+    per_node = eager_join_aggregate(nodes.where(F.col("parent_id").isNotNull()), properties, "id", "node_id", how="left", left_by=["parent_id"])
+    # a node without properties is one row of a left join, but none of theirs
+    rows = F.when(F.col("right_rows") > 0, F.col("joined_rows")).otherwise(F.lit(0))
+    return roll_up(per_node.withColumn("property_rows", rows), ["parent_id"], ["property_rows"])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_entries, p2_found, p4_found, p4_wide, p5_found, p5_counts, p5_parent_load)}
@@ -151,8 +159,8 @@ SQL = {
       select 'parent_id' as field, parent_id as key_id from interned_nodes where parent_id is not null group by parent_id having count(*) >= 0.04 * (select count(*) from interned_nodes)
       union all select 'name_id', name_id from interned_properties where name_id is not null group by name_id having count(*) >= 0.04 * (select count(*) from interned_properties)""",
     "p5_counts": """
-      select 'parent_id' as field, parent_id as key_id, count(*) as n_rows from interned_nodes where parent_id is not null group by parent_id
-      union all select 'name_id', name_id, count(*) from interned_properties where name_id is not null group by name_id""",
+      select 'parent_id' as field, a.parent_id as key_id, count(distinct a.id) as n_rows, count(distinct b.id) as partners, count(*) as joined_rows from interned_nodes a left join interned_nodes b on b.id = a.parent_id where a.parent_id is not null group by 2
+      union all select 'name_id', a.name_id, count(*), count(distinct b.id), count(*) from interned_properties a left join interned_strings b on b.id = a.name_id where a.name_id is not null group by 2""",
     "p5_parent_load": """
       select n.parent_id, count(distinct n.id) as children, count(p.node_id) as property_rows from interned_nodes n left join interned_properties p on p.node_id = n.id
       where n.parent_id is not null group by 1""",

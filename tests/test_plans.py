@@ -35,7 +35,13 @@ def test_pushdown(spark):
     assert re.search(r"ReadSchema: struct<path:string>", text)
 
 
-def test_columns(spark):
-    text = plan(entry.queries()["p5_found"](spark, str(SMALL)))
-    schemas = set(re.findall(r"ReadSchema: (\S+)", text))
+def test_join_of_aggregates(spark):
+    """Problem 5: each side is aggregated ahead of the join, and the join is there."""
+    text = entry.queries()["p5_found"](spark, str(SMALL))._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join LeftOuter, .*\n((?:.*\n?)*)", text)
+    assert text.count("Join LeftOuter") == 2 and joins
+    for key in ("parent_id", "name_id"):
+        assert re.search(rf"Aggregate \[{key}#\d+L\], \[{key}#\d+L AS key#\d+L, count\(1\)", text)
+    assert len(re.findall(r"Aggregate \[id#\d+L\], \[id#\d+L AS __right_key#\d+L, count\(1\)", text)) == 2
+    schemas = set(re.findall(r"ReadSchema: (\S+)", plan(entry.queries()["p5_found"](spark, str(SMALL)))))
     assert schemas <= {"struct<parent_id:bigint>", "struct<id:bigint>", "struct<name_id:bigint>", "struct<>"}
