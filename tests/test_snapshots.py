@@ -67,3 +67,27 @@ def test_edges(spark):
     assert run(spark, shifted, [1, 2]) == [(2, "/a", "p", 0, "changed")]
     long = [(s, "/" + "x" * 100_000, "p", 0, "y" * (100_000 + s), None, DAY, 0, None) for s in (1, 2)]
     assert [r[-1] for r in run(spark, long, [1, 2])] == ["changed"]
+
+
+def test_hot_keys_and_small_batches(spark):
+    """A key that is delivered again and again, in batches of a few rows."""
+    rnd = random.Random(6)
+    ids = [1, 2, 5]
+    rows = [(s, f"/n{k}", "p", 0, f"v{k if rnd.random() < 0.9 else s}", None, DAY, 0, None) for s in ids for k in range(200)]
+    for s in ids:
+        rows += [(s, "/hot", None, None, f"h{s}-{k}", None, DAY + dt.timedelta(minutes=k), 0, None) for k in range(300)]
+        rows += [(s, "/same", "p", None, "same", float("nan"), DAY, 0, None)] * 200
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = run(spark, rows, ids)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows, ids)
+    assert {r[0] for r in got if r[1] == "/hot"} == {2, 5} and not [r for r in got if r[1] == "/same"]
+
+
+def test_one_shuffle(spark):
+    df = spark.createDataFrame([(1, "/a", "p", 0, "x", None, DAY, 0, None)], SCHEMA)
+    got = snapshot_changes(df, spark.createDataFrame([(1,), (2,)], "snapshot_id int"), ["path", "name", "position"], ["value", "number"], "delivered_at")
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in text
