@@ -55,12 +55,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return judge_texts(table(spark, d, "documents")).where("truncated").select("doc_id")
 
 
+def p8_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the evidence that decided, as one text."""
+    return judge_texts(table(spark, d, "documents")).where("truncated").select("doc_id", "source", F.array_join("evidence", "+").alias("evidence"))
+
+
 def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     """How often each source truncates."""
     return truncated_share(judge_texts(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequency, p6_ids, p6_round_trip, p7_found, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_frequency, p6_ids, p6_round_trip, p7_found, p8_found, p8_evidence, p8_sources)}
 
 _P3 = """
   with n as (select snapshot_id, path, arg_max(coalesce('v' || primary_type, 'n'), delivered_at) as t from node_rows group by all),

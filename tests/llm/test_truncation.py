@@ -57,6 +57,8 @@ def test_cases(spark):
     texts = {k: t for k, t, _ in rows}
     assert not {(k in got, texts[k][-60:]) for k in got ^ want}
     assert judged.count() == len(rows) - 3
+    for r in judged.collect():  # form alone decides nothing
+        assert r.truncated == bool(r.evidence) and set(r.evidence) <= {"limit", "block", "word", "phrase"}
     shares = {r.source: (r.texts, r.truncated) for r in truncated_share(judged).collect()}
     assert shares["log"] == (120, 0) and shares[None] == (120, 0) and shares["mail"] == (140, 20)
     assert judge_texts(df.limit(0)).count() == 0
@@ -68,3 +70,35 @@ def test_long_and_repeated(spark):
     judged = judge_texts(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
     got = sorted((r.doc_id, r.truncated) for r in judged.collect())
     assert [k for k, _ in got] == [1, 2, 3, 3] and got[0] == (1, False) and got[1] == (2, True)
+
+
+def test_limits_of_words_and_single_longer_texts(spark):
+    """A limit that keeps whole words, one that a longer text exceeds, one that few texts reach."""
+    rows, k = [], 0
+
+    def add(text, source):
+        nonlocal k
+        k += 1
+        rows.append((k, text, source))
+        return k
+
+    whole = [add(prose(RND.randint(1, 4)), s) for s in ("words", "chars", "rare") for _ in range(400)]
+    cut_off = []
+    for _ in range(40):
+        text = "\n" + prose(12)
+        cut_off.append(add(text[: text[:300].rindex(" ")].rstrip("."), "words"))
+        cut_off.append(add(text[:260].rstrip(" .").ljust(260, "e"), "chars"))
+    whole.append(add(prose(30), "chars"))
+    for _ in range(3):  # fewer than a hundredth of the source
+        cut_off.append(add(prose(12)[:350].rstrip(" .").ljust(350, "e"), "rare"))
+    judged = judge_texts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    evidence = {r.doc_id: r.evidence for r in judged}
+    assert all("limit" in evidence[c] for c in cut_off) and not any("limit" in evidence[w] for w in whole)
+
+
+def test_marks(spark):
+    """Any word in brackets can stand for the rest; the cut word before it doesn't become a known one."""
+    rows = [(k, prose(3), "s") for k in range(50)]
+    rows += [(100, prose(2) + " The garden follows the [truncated]", "s"), (101, prose(2) + " The garden (optional)", "s"), (102, prose(2) + " The gard [more]", "s"), (103, prose(1) + " The gard (continued)", "t"), (104, "A garden (see)", "s")]
+    got = {r.doc_id: r.evidence for r in judge_texts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("truncated").collect()}
+    assert got[100] == ["phrase"] and "word" in got[102] and "word" in got[103] and 104 not in got
