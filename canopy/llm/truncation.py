@@ -54,7 +54,8 @@ END = rf"(?:[.!?。！？…]|</[A-Za-z][^<>]*>|<[^<>]*/>|<(?:hr|br)>){CLOSERS}*
 #: A mark in place of the rest: dots directly behind it, or a word or dots in brackets.
 DOTS, BRACKETED = r"(?<=\S)(?:\.\.\.|…)\z", r"\s*[\[(](?:\p{L}{1,24}|\.\.\.|…)[\])]\z"
 DOTS_APART = r"\s(?:\.\.\.|…)\z"
-BEFORE_BLANKS = r"(?U)(?<!\s)\s++\z"
+#: The blank characters of Unicode.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A sentence that ended, with something other than a small letter behind it.
 ENDED = rf"(?U)(?:(?:\p{{L}}{{2}}|\p{{L}} \d{{1,9}}){CLOSERS}*(?:\.|\s?[!?]){CLOSERS}?\s+(?!\p{{Ll}})|[。！？]{CLOSERS}?\s*[^\s」』）])"
 OPENING, VOID, CLOSING = r"<[A-Za-z](?:[^<>]*[^<>/])?>", r"<(?:br|hr|img|input|meta|link|wbr)\b[^<>]*[^<>/]?>", r"</[A-Za-z][^<>]*>"
@@ -62,7 +63,8 @@ OPENING, VOID, CLOSING = r"<[A-Za-z](?:[^<>]*[^<>/])?>", r"<(?:br|hr|img|input|m
 WITHIN_TAG, WITHIN_TAG_OF_MARKUP = r"<(?:[A-Za-z/][^<>\s]*(?:\s[^<>]*=[^<>]*)?)?\z", r"<[A-Za-z/][^<>]*\z"
 #: What parts sentences, lines and elements, and the last two words (or one) before such a place.
 STOPS = r".!?。！？…\n\r<"
-PHRASE = rf"(?<![{LETTER}])(?:[{LETTER}]++[^{LETTER}>{STOPS}]{{1,3}})?[{LETTER}]++[^{LETTER}>{STOPS}]{{0,3}}\z"
+PHRASE_AT_END = rf"(?<![{LETTER}])(?:[{LETTER}]++[^{LETTER}>{STOPS}]{{1,3}}+)?[{LETTER}]++[^{LETTER}>{STOPS}]{{0,3}}+\z"
+PHRASE_AT_STOP = rf"(?<![{LETTER}])(?:[{LETTER}]++[^{LETTER}>{STOPS}]{{1,3}}+)?[{LETTER}]++[^{LETTER}>{STOPS}]{{0,3}}+[{STOPS}]"
 #: Signs behind the last word that belong to the phrase: what ends with them goes on.
 JOINTS = r",;:/(&\-–—"
 
@@ -72,12 +74,11 @@ def _final_token(text: Column) -> Column:
     return F.lower(F.regexp_extract(F.right(text, F.lit(LONGEST_WORD + 1)), WORD + r"\z", 0))
 
 
-def _final_phrase(text: Column) -> Column:
-    """The last two words as written, but every number as ``0``, the joint behind them and a stop; empty without words.
+def _plain_phrase(found: Column) -> Column:
+    """A phrase as it is written, but every number as ``0``, with only a joint and a stop behind it; empty without words.
 
     A capital tells the beginning of a sentence from the same words at its end.
     """
-    found = F.regexp_extract(F.right(text, F.lit(PHRASE_SPAN)), PHRASE, 0)
     words = F.trim(F.regexp_replace(F.regexp_replace(found, r"\p{N}+", "0"), rf"[^{LETTER}{JOINTS}]+|[{JOINTS}](?=.*[{LETTER}])", " "))
     plain = F.regexp_replace(words, rf" +(?=[{JOINTS}])|(?<= ) +|(?<=[{JOINTS}])[{JOINTS} ]+", "")
     return F.when(plain != "", F.concat(plain, F.lit("."))).otherwise("")
@@ -87,14 +88,14 @@ def _last_word(phrase: Column) -> Column:
     return F.lower(F.substring_index(F.substring_index(phrase, ".", 1), " ", -1))
 
 
-def _without_mark(text: Column) -> tuple[Column, Column, Column]:
-    """The text without blanks at its end and a mark in place of the rest, and whether that is dots or in brackets."""
-    body = F.regexp_replace(text, BEFORE_BLANKS, "")
-    last = F.right(body, F.lit(1))
-    dots = F.when(last.isin(".", "…"), body.rlike(DOTS)).otherwise(F.lit(False))
-    bracketed = F.when(last.isin("]", ")"), body.rlike(BRACKETED)).otherwise(F.lit(False))
-    core = F.when(bracketed | dots, F.regexp_replace(F.regexp_replace(F.regexp_replace(body, BRACKETED, ""), DOTS, ""), BEFORE_BLANKS, "")).otherwise(body)
-    return core, dots, bracketed
+def _without_mark(texts: DataFrame) -> DataFrame:
+    """Adds ``body``, the ``text`` without blanks at its end, its ``last`` character, whether ``dots`` or a ``bracketed`` word stand for the rest, and the ``core`` before these."""
+    t = texts.withColumn("body", F.rtrim(F.col("text"), F.lit(BLANKS))).withColumn("last", F.right("body", F.lit(1)))
+    dots = F.when(F.col("last").isin(".", "…"), F.col("body").rlike(DOTS)).otherwise(F.lit(False))
+    bracketed = F.when(F.col("last").isin("]", ")"), F.col("body").rlike(BRACKETED)).otherwise(F.lit(False))
+    t = t.withColumn("dots", dots).withColumn("bracketed", bracketed)
+    bare = F.when(F.col("bracketed"), F.regexp_replace("body", BRACKETED, "")).when(F.col("dots"), F.regexp_replace("body", DOTS, ""))
+    return t.withColumn("core", F.coalesce(F.rtrim(bare, F.lit(BLANKS)), F.col("body")))
 
 
 def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -105,10 +106,9 @@ def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> Dat
     test leaves them a chance.
     """
     t = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
-    core, dots, bracketed = _without_mark(F.col("text"))
-    t = t.withColumns({"dots": dots, "bracketed": bracketed, "core": core})
+    t = _without_mark(t)
     marked = F.col("dots") | F.col("bracketed")
-    t = t.withColumn("ended", ~marked & ~F.right("core", F.lit(1)).rlike(rf"[{LETTER}]") & F.col("core").rlike(END))
+    t = t.withColumn("ended", ~marked & ~F.col("last").rlike(rf"[{LETTER}]") & F.col("core").rlike(END))
     last_line = F.substring_index(F.translate("core", "\r", "\n"), "\n", -1)
     final = _final_token(F.col("core"))
     has_tags = F.col("text").contains("<")
@@ -122,14 +122,15 @@ def _described(documents: DataFrame, doc_id: str, text: str, source: str) -> Dat
         F.length("text").alias("characters"),
         F.octet_length("text").alias("bytes"),
         F.when(~F.col("ended"), F.when(stump, final).otherwise("")).alias("token"),
-        F.when(F.col("text").rlike(r"[.…]\s*\z"), F.regexp_replace("text", BEFORE_BLANKS, "").rlike(DOTS_APART)).otherwise(F.lit(False)).alias("dots_apart"),
+        F.when(F.col("last").isin(".", "…"), F.col("body").rlike(DOTS_APART)).otherwise(F.lit(False)).alias("dots_apart"),
         F.when(F.col("ended"), F.lit(False)).otherwise(last_line.rlike(ENDED)).alias("within_sentence"),
         F.when(~F.col("ended") & has_tags, within_markup).otherwise(F.lit(False)).alias("within_markup"),
         (F.right("text", F.lit(1)).rlike(r"[^\S\r\n]") | F.col("core").endswith("�")).alias("loose_end"),
-        F.when(~F.col("ended"), _final_phrase(F.col("core"))).alias("last_phrase"),
+        F.right("core", F.lit(PHRASE_SPAN)).alias("tail"),
     )
     supported = ~F.col("ended") & (F.col("within_sentence") | F.col("within_markup") | F.col("loose_end"))
-    return cut(described.withColumn("phrase", F.when(supported, F.col("last_phrase")).otherwise("")).withColumn("supported", supported).drop("last_phrase"))
+    phrase = _plain_phrase(F.regexp_extract("tail", PHRASE_AT_END, 0))
+    return cut(described.withColumn("supported", supported).withColumn("phrase", F.when(F.col("supported"), phrase).otherwise("")).drop("tail"))
 
 
 def field_limits(described: DataFrame) -> DataFrame:
@@ -180,17 +181,18 @@ def vocabulary_trie(documents: DataFrame, text: str) -> DataFrame:
     ``own`` counts texts with it as a word, ``below`` texts with words it begins,
     ``ends`` texts of which a sentence, line or element ends with it.
     """
-    core, _, _ = _without_mark(F.col(text))
+    cores = _without_mark(documents.select(F.col(text).alias("text"))).select("core")
     words = F.regexp_extract_all(F.lower("core"), F.lit(WORD), F.lit(0))
     # the last word of a text may be cut: it proves nothing; nor does what stands behind the last stop
     inner = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    pieces = F.split("core", rf"[{STOPS}]")
-    phrases = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), _final_phrase)
-    terms = documents.select(core.alias("core")).select(F.explode(F.array_distinct(F.concat(inner, phrases))).alias("term"))
-    counted = terms.where(F.length("term").between(1, LONGEST_WORD)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    is_phrase = F.col("term").endswith(".")
-    size = F.explode(F.when(is_phrase, F.array(F.lit(-1), F.lit(0))).otherwise(F.sequence(F.lit(1), F.length("term")))).alias("size")
-    at = counted.where(is_phrase | (F.col("n") >= 2)).select("term", "n", size)
+    phrases = F.regexp_extract_all("core", F.lit(PHRASE_AT_STOP), F.lit(0))
+    terms = cores.select(F.explode(F.array_distinct(F.concat(inner, phrases))).alias("term"))
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    is_phrase = F.col("term").rlike(rf"[{STOPS}]\z")
+    counted = counted.where(is_phrase | ((F.col("n") >= 2) & F.length("term").between(1, LONGEST_WORD)))
+    counted = counted.select("n", is_phrase.alias("is_phrase"), F.when(is_phrase, _plain_phrase(F.col("term"))).otherwise(F.col("term")).alias("term")).where("term <> ''")
+    size = F.explode(F.when(F.col("is_phrase"), F.array(F.lit(-1), F.lit(0))).otherwise(F.sequence(F.lit(1), F.length("term")))).alias("size")
+    at = counted.select("term", "n", size)
     node = F.when(F.col("size") == -1, F.col("term")).when(F.col("size") == 0, _last_word(F.col("term"))).otherwise(F.substring("term", F.lit(1), F.greatest(F.col("size"), F.lit(0))))
     sums = lambda when, alias: F.sum(F.when(when, F.col("n")).otherwise(0)).alias(alias)
     whole = F.col("size") == F.length("term")
