@@ -63,8 +63,9 @@ OPENING, VOID, CLOSING = r"<[A-Za-z](?:[^<>]*[^<>/])?>", r"<(?:br|hr|img|input|m
 WITHIN_TAG, WITHIN_TAG_OF_MARKUP = r"<(?:[A-Za-z/][^<>\s]*(?:\s[^<>]*=[^<>]*)?)?\z", r"<[A-Za-z/][^<>]*\z"
 #: What parts sentences, lines and elements, and the last two words (or one) before such a place.
 STOPS = r".!?。！？…\n\r<"
-PHRASE_AT_END = rf"(?<![{LETTER}])(?:[{LETTER}]++[^{LETTER}>{STOPS}]{{1,3}}+)?[{LETTER}]++[^{LETTER}>{STOPS}]{{0,3}}+\z"
-PHRASE_AT_STOP = rf"(?<![{LETTER}])(?:[{LETTER}]++[^{LETTER}>{STOPS}]{{1,3}}+)?[{LETTER}]++[^{LETTER}>{STOPS}]{{0,3}}+[{STOPS}]"
+PHRASE_AT_END = rf"(?<![{LETTER}])(?:[{LETTER}]++[^{LETTER}>{STOPS}]{{1,20}}+)?[{LETTER}]++[^{LETTER}>{STOPS}]{{0,3}}+\z"
+#: A word, with what follows it up to a stop if one is near.
+WORD_TO_STOP = rf"[{LETTER}]++(?:[^{LETTER}>{STOPS}]{{0,3}}+[{STOPS}])?"
 #: Signs behind the last word that belong to the phrase: what ends with them goes on.
 JOINTS = r",;:/(&\-–—"
 
@@ -182,15 +183,17 @@ def vocabulary_trie(documents: DataFrame, text: str) -> DataFrame:
     ``ends`` texts of which a sentence, line or element ends with it.
     """
     cores = _without_mark(documents.select(F.col(text).alias("text"))).select("core")
-    words = F.regexp_extract_all(F.lower("core"), F.lit(WORD), F.lit(0))
-    # the last word of a text may be cut: it proves nothing; nor does what stands behind the last stop
-    inner = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    phrases = F.regexp_extract_all("core", F.lit(PHRASE_AT_STOP), F.lit(0))
-    terms = cores.select(F.explode(F.array_distinct(F.concat(inner, phrases))).alias("term"))
-    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    is_phrase = F.col("term").rlike(rf"[{STOPS}]\z")
-    counted = counted.where(is_phrase | ((F.col("n") >= 2) & F.length("term").between(1, LONGEST_WORD)))
-    counted = counted.select("n", is_phrase.alias("is_phrase"), F.when(is_phrase, _plain_phrase(F.col("term"))).otherwise(F.col("term")).alias("term")).where("term <> ''")
+    words = cores.select(F.regexp_extract_all("core", F.lit(WORD_TO_STOP), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    stops = F.lit(".!?。！？…\n\r<")
+    at_stop = lambda w: (w != "") & F.contains(stops, F.right(w, F.lit(1)))
+    # the last word of a text may be cut: it proves nothing, and no sentence ends with it unless a stop follows
+    inner = F.slice("w", 1, F.size("w") - 1)
+    pairs = F.zip_with(F.concat(F.array(F.lit("")), inner), F.col("w"), lambda a, b: F.when(at_stop(b), F.concat(F.when(at_stop(a), "").otherwise(a), F.lit(" "), b)))
+    terms = words.select(F.explode(F.array_distinct(F.concat(inner, F.array_compact(pairs)))).alias("term")).withColumn("is_phrase", F.col("term").contains(" "))
+    word = F.lower(F.when(F.right("term", F.lit(1)).rlike(rf"[{STOPS}]"), F.regexp_extract("term", WORD, 0)).otherwise(F.col("term")))
+    counted = terms.select("is_phrase", F.when(F.col("is_phrase"), F.col("term")).otherwise(word).alias("term")).groupBy("is_phrase", "term").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.where(F.col("is_phrase") | ((F.col("n") >= 2) & F.length("term").between(1, LONGEST_WORD)))
+    counted = counted.select("n", "is_phrase", F.when(F.col("is_phrase"), _plain_phrase(F.col("term"))).otherwise(F.col("term")).alias("term")).where("term <> ''")
     size = F.explode(F.when(F.col("is_phrase"), F.array(F.lit(-1), F.lit(0))).otherwise(F.sequence(F.lit(1), F.length("term")))).alias("size")
     at = counted.select("term", "n", size)
     node = F.when(F.col("size") == -1, F.col("term")).when(F.col("size") == 0, _last_word(F.col("term"))).otherwise(F.substring("term", F.lit(1), F.greatest(F.col("size"), F.lit(0))))
