@@ -9,12 +9,14 @@ the signature of one of several repetitions are candidates, and an edit
 distance over the words themselves decides.  Equal windows have equal
 signatures in every repetition, so for exact passages one repetition finds all.
 
-The items' signatures are sent to every task as sorted arrays while they number
-at most MOST_WINDOWS; more of them are joined by signature, with salt.
+The items' signatures are sent to every task as sorted arrays, MOST_SIGNATURES at
+a time: more items are searched for in blocks, each with a pass over the corpus,
+so that their number changes the work but no result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -25,17 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 PASSAGE = 12
-#: Signatures of items that go to every task: 16 bytes each.
-MOST_WINDOWS = 2_000_000
-#: Places of the walk that a signature takes.
-SAMPLED = 8
-STEPS = 3
+#: Signatures of items that go to every task at once: 16 bytes each.
+MOST_SIGNATURES = 4_000_000
+#: Steps of the walk for each word, and places of it that a signature takes: fewer where more edits are allowed.
+STEPS, SAMPLED, LEAST_SAMPLED = 3, 8, 4
 TARGET_RECALL = 0.95
-SALTS = 16
-#: Words that are embedded at once.
-BLOCK_WORDS = 1 << 18
+#: Repetitions beyond which so many edits of so few words can't be searched for.
+MOST_REPETITIONS = 1_000
+#: Words that are embedded at once, and candidates that are compared at once.
+BLOCK_WORDS, CANDIDATES = 1 << 18, 1 << 17
 
 TAG = re.compile(r"<(?:[^\W\d_]|/)[^<>]*>")
 #: The entities that stand for a character.
@@ -73,10 +76,10 @@ def _scramble(x: np.ndarray, seed: int) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray, length: int, repetition: int) -> np.ndarray:
+def signatures(hashes: np.ndarray, starts: np.ndarray, length: int, repetition: int, places: int = SAMPLED) -> np.ndarray:
     """Bit-sampled walk of each window of ``length`` words that begins at ``starts``."""
     steps = STEPS * length
-    sampled = set(np.random.default_rng(7919 + repetition).permutation(steps)[:SAMPLED].tolist())
+    sampled = set(np.random.default_rng(7919 + repetition).permutation(steps)[:places].tolist())
     symbols = _scramble(hashes, repetition)
     at, limit = starts.copy(), starts + length
     out = np.full(len(starts), repetition, np.uint64)
@@ -91,45 +94,55 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, length: int, repetition:
     return out
 
 
-def within_edits(a: list[str], b: list[str], edits: int) -> bool:
-    """Whether ``b`` comes from ``a`` by at most ``edits`` insertions, removals or changes of words."""
-    if edits == 0 or a == b:
-        return a == b
-    if abs(len(a) - len(b)) > edits:
-        return False
+def edit_distance(a: list[str], b: list[str], most: int) -> int:
+    """Insertions, removals and changes of words that make ``b`` of ``a``, or ``most`` + 1 if they are more than that."""
+    if a == b:
+        return 0
+    if most == 0 or abs(len(a) - len(b)) > most:
+        return most + 1
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
-        if min(row) > edits:
-            return False
-    return row[-1] <= edits
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def sampled_places(edits: int) -> int:
+    return max(LEAST_SAMPLED, SAMPLED - edits)
 
 
 def repetitions(edits: int, length: int, recall: float = TARGET_RECALL) -> int:
     """How many repetitions find a window within ``edits`` with at least that probability.
 
     The rate at which one repetition does is measured on random windows of which
-    every edit replaces, removes or inserts a word.
+    every edit replaces, removes or inserts a word.  ValueError where more than
+    MOST_REPETITIONS would be needed.
     """
     if edits == 0:
         return 1
     rng = np.random.default_rng(17)
-    hit = trials = 0
-    for _ in range(200):
+    pairs = []
+    for _ in range(500):
         base = [int(x) for x in rng.integers(0, 2**63, length + edits)]
         other = base[:length]
         for _ in range(edits):
             k, kind = int(rng.integers(0, length)), int(rng.integers(0, 3))
             other = other[:k] + ([] if kind == 1 else [int(rng.integers(0, 2**63))]) + other[k + (kind != 2) :]
-        other = (other + base[length:])[:length]
-        both = np.array(base[:length] + other, np.uint64)
-        for r in range(8):
-            a, b = signatures(both, np.array([0, length]), length, r)
-            hit, trials = hit + int(a == b), trials + 1
-    rate = max(hit / trials, 1e-3)
-    return min(64, int(np.ceil(np.log(1 - recall) / np.log(1 - rate))))
+        pairs += base[:length] + (other + base[length:])[:length]
+    both, starts = np.array(pairs, np.uint64), np.arange(0, len(pairs), length)
+    hits = np.zeros(len(starts) // 2)
+    for r in range(64):
+        s = signatures(both, starts, length, r, sampled_places(edits))
+        hits += s[::2] == s[1::2]
+    # pairs differ in how easily they are found: the mean over them of the chance to be missed is to fall below 1 - recall
+    rates = (hits + 0.5) / 65
+    for n in range(1, MOST_REPETITIONS + 1):
+        if np.mean((1 - rates) ** n) <= 1 - recall:
+            return n
+    raise ValueError(f"{edits} edits of {length} words need more than {MOST_REPETITIONS} repetitions")
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[list[str]]]]:
@@ -157,110 +170,127 @@ def _windows(block: list[list[str]], length: int, known: _Hashes) -> tuple[np.nd
     return hashes, begins[owner] + within, owner, begins
 
 
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """``edit_distance`` of each row of ``a`` to the row of ``b``, in the band of ``most`` around the diagonal."""
+    n, length = a.shape
+    if most == 0:
+        return (a != b).any(axis=1).astype(np.int16)
+    far = np.int16(most + 1)
+    width = 2 * most + 1  # cell d of row i is column i + d - most
+    row = np.full((width, n), far, np.int16)
+    for d in range(most, width):
+        row[d] = d - most
+    for i in range(1, length + 1):
+        above = row
+        row = np.full((width, n), far, np.int16)
+        for d in range(width):
+            j = i + d - most
+            if j < 0 or j > length:
+                continue
+            if j == 0:
+                row[d] = i
+                continue
+            best = above[d] + (a[:, i - 1] != b[:, j - 1])
+            if d + 1 < width:
+                best = np.minimum(best, above[d + 1] + 1)
+            if d:
+                best = np.minimum(best, row[d - 1] + 1)
+            row[d] = np.minimum(best, far)
+    return row[most]
+
+
 class ItemIndex:
     """Signatures of all items' windows, sorted, with the item and place of each."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], length: int, edits: int) -> None:
-        self.length, self.edits, self.repetitions = length, edits, repetitions(edits, length)
+    def __init__(self, items: list[tuple[object, list[str]]], length: int, edits: int, times: int) -> None:
+        self.length, self.edits, self.places = length, edits, sampled_places(edits)
         self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         self.tables = []
-        if items and any(len(w) >= length for w in self.words):
-            hashes, starts, owner, begins = _windows(self.words, length, _Hashes())
-            for r in range(self.repetitions):
-                s = signatures(hashes, starts, length, r)
+        if any(len(w) >= length for w in self.words):
+            self.hashes, self.starts, self.owner, self.begins = _windows(self.words, length, _Hashes())
+            for r in range(times):
+                s = signatures(self.hashes, self.starts, length, r, self.places)
                 order = np.argsort(s, kind="stable")
-                self.tables.append((s[order], owner[order].astype(np.int32), (starts - begins[owner])[order].astype(np.int32)))
+                self.tables.append((s[order], order.astype(np.int32)))
 
-    def search(self, block: list[list[str]], known: _Hashes) -> list[tuple[int, int]]:
-        """(text of the block, item) pairs that share a passage."""
+    def search(self, block: list[list[str]], known: _Hashes) -> list[tuple[int, int, int]]:
+        """(text of the block, item, edits) of those that share a passage, with the fewest edits found.
+
+        Candidates are compared by the hashes of their words, many at once; what
+        that accepts, by the words.
+        """
         hashes, starts, owner, begins = _windows(block, self.length, known)
-        found: set[tuple[int, int]] = set()
-        for r, (sorted_signatures, items, places) in enumerate(self.tables):
-            s = signatures(hashes, starts, self.length, r)
+        found: dict[int, int] = {}  # text * items + item: edits
+        along = np.arange(self.length)
+        for r, (sorted_signatures, windows) in enumerate(self.tables):
+            s = signatures(hashes, starts, self.length, r, self.places)
             low = np.searchsorted(sorted_signatures, s, side="left")
             hit = np.flatnonzero(sorted_signatures[np.minimum(low, len(sorted_signatures) - 1)] == s)
-            high = np.searchsorted(sorted_signatures, s[hit], side="right")
-            for k, end in zip(hit, high, strict=True):
-                text, place = int(owner[k]), int(starts[k] - begins[owner[k]])
-                window = block[text][place : place + self.length]
-                for c in range(low[k], end):
-                    pair = text, int(items[c])
-                    if pair not in found and within_edits(self.words[pair[1]][places[c] : places[c] + self.length], window, self.edits):
-                        found.add(pair)
-        return sorted(found)
+            counts = np.searchsorted(sorted_signatures, s[hit], side="right") - low[hit]
+            ends = np.cumsum(counts)
+            for first in range(0, int(ends[-1]) if len(ends) else 0, CANDIDATES):  # candidates are numbered through
+                at = np.arange(first, min(first + CANDIDATES, int(ends[-1])))
+                of = np.searchsorted(ends, at, side="right")
+                k = hit[of]
+                w = windows[low[k] + at - (ends[of] - counts[of])].astype(np.int64)
+                pair = owner[k] * len(self.words) + self.owner[w]
+                exact = np.sort(np.array([-1, *(p for p, n in found.items() if n == 0)], np.int64))
+                fresh = exact[np.searchsorted(exact, pair, side="right") - 1] != pair  # nothing better can be found for the others
+                k, w, pair = k[fresh], w[fresh], pair[fresh]
+                n = edit_distances(self.hashes[self.starts[w][:, None] + along], hashes[starts[k][:, None] + along], self.edits)
+                near = np.flatnonzero(n <= self.edits)
+                near = near[np.lexsort((n[near], pair[near]))]
+                for x in near.tolist():
+                    p, edits = int(pair[x]), int(n[x])
+                    if edits < found.get(p, self.edits + 1):
+                        text, item = divmod(p, len(self.words))
+                        i, j = int(self.starts[w[x]] - self.begins[item]), int(starts[k[x]] - begins[text])
+                        if edit_distance(self.words[item][i : i + self.length], block[text][j : j + self.length], edits) == edits:
+                            found[p] = edits
+        return sorted((*divmod(p, len(self.words)), n) for p, n in found.items())
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = PASSAGE, edits: int = 0, most_windows: int = MOST_WINDOWS
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: int = PASSAGE, edits: int = 0, most_signatures: int = MOST_SIGNATURES
 ) -> DataFrame:
-    """``doc_id`` and ``item_id`` of each document that holds a passage of an item.
+    """``doc_id``, ``item_id`` and ``edits`` of each document that holds a passage of an item.
 
     A passage is ``passage`` consecutive words of the item, found in the
     document with at most ``edits`` edits of words within a window of the same
-    length.  With no edits every one is found; else at least TARGET_RECALL of
-    them.  Null and empty texts and items of fewer words hold no passage.  A
-    pair comes once, however often ids or passages repeat.  Columns besides ids
-    and text are ignored.
+    length; the column says how few were found.  With no edits every passage is
+    found, else at least TARGET_RECALL of them.  Null and empty texts and items
+    of fewer words hold no passage.  A pair comes once, however often ids or
+    passages repeat; null ids are ids.  Columns besides ids and text are ignored.
+    ``most_signatures`` bounds what is broadcast at once, and changes no result.
     """
-    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType)])
+    schema = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("edits", T.IntegerType())])
     pool = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     corpus = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    # a word and what parts it from the next are two characters at least
-    bound = pool.agg(F.sum(F.length("text"))).first()[0] or 0
-    if bound / 2 <= most_windows:
-        index = ItemIndex([(r.item_id, words_of(r.text)) for r in pool.collect()], passage, edits)
-        shared = documents.sparkSession.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, known = shared.value, _Hashes()
-            for batch in batches:
-                for first, block in _blocks(batch.column(1).to_pylist()):
-                    if pairs := index.search(block, known):
-                        docs = batch.column(0).take(pa.array([first + t for t, _ in pairs], pa.int64()))
-                        yield pa.RecordBatch.from_arrays([docs, pa.array([index.ids[i] for _, i in pairs], batch_type(schema["item_id"].dataType))], names=["doc_id", "item_id"])
-
-        return corpus.mapInArrow(search, schema).distinct()
-    return _joined(corpus, pool, schema, passage, edits)
-
-
-def batch_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def _joined(corpus: DataFrame, pool: DataFrame, schema: T.StructType, passage: int, edits: int) -> DataFrame:
-    """The same by joins: signatures meet, pairs get their texts back, and the edit distance decides."""
     times = repetitions(edits, passage)
-
-    def signed(df: DataFrame, key: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _Hashes()
-            for batch in batches:
-                for first, block in _blocks(batch.column(1).to_pylist()):
-                    hashes, starts, owner, _ = _windows(block, passage, known)
-                    for r in range(times if len(starts) else 0):
-                        both = np.unique(np.stack([owner.astype(np.uint64), signatures(hashes, starts, passage, r)]), axis=1)
-                        ids = batch.column(0).take(pa.array(both[0].astype(np.int64) + first))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(both[1].view(np.int64))], names=[key, "signature"])
-
-        return df.select(key, "text").mapInArrow(run, T.StructType([df.schema[key], T.StructField("signature", T.LongType())])).distinct()
-
-    left = signed(corpus, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    right = signed(pool, "item_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = left.join(right, ["signature", "salt"]).select("doc_id", "item_id").distinct()
-    texts = pairs.join(corpus, "doc_id").join(pool.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "text", "item_id", "item_text")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # a word and what parts it from the next are two characters at least
+    bound = (pool.agg(F.sum(F.length("text"))).first()[0] or 0) / 2 * times
+    blocks = max(1, math.ceil(bound / most_signatures))
+    of_block = F.pmod(F.xxhash64("text"), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        mine = pool if blocks == 1 else pool.where(of_block == k)
+        index = ItemIndex([(r.item_id, words_of(r.text)) for r in mine.collect()], passage, edits, times)
+        found = _searched(corpus, index, schema)
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+
+
+def _searched(corpus: DataFrame, index: ItemIndex, schema: T.StructType) -> DataFrame:
+    shared = corpus.sparkSession.sparkContext.broadcast(index)
+    item_type = to_arrow_type(schema["item_id"].dataType)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, known = shared.value, _Hashes()
         for batch in batches:
-            keep = []
-            for text, item in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = words_of(text), words_of(item)
-                if edits:
-                    keep.append(any(within_edits(b[j : j + passage], a[i : i + passage], edits) for i in range(len(a) - passage + 1) for j in range(len(b) - passage + 1)))
-                else:
-                    own = {tuple(b[j : j + passage]) for j in range(len(b) - passage + 1)}
-                    keep.append(any(tuple(a[i : i + passage]) in own for i in range(len(a) - passage + 1)))
-            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
-
-    return texts.mapInArrow(verify, schema).distinct()
+            for first, block in _blocks(batch.column(1).to_pylist()):
+                if pairs := index.search(block, known):
+                    docs = batch.column(0).take(pa.array([first + t for t, _, _ in pairs], pa.int64()))
+                    ids = pa.array([index.ids[i] for _, i, _ in pairs], item_type)
+                    yield pa.RecordBatch.from_arrays([docs, ids, pa.array([n for _, _, n in pairs], pa.int32())], names=["doc_id", "item_id", "edits"])
+
+    return corpus.mapInArrow(search, schema)

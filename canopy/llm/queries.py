@@ -13,6 +13,7 @@ from canopy.operators.common import latest_rows
 from canopy.sources.tables import table
 
 RARE_BELOW, COMMON_ABOVE = 3, 0.4
+NEAR_EDITS = 3
 
 
 def p3_frequency(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +48,12 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold twelve consecutive words of a test item."""
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold twelve words of a test item with at most three edits."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=NEAR_EDITS)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +71,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncated_share(judge_texts(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequency, p6_ids, p6_round_trip, p7_found, p8_found, p8_evidence, p8_sources)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_frequency, p6_ids, p6_round_trip, p7_found, p7_near, p8_found, p8_evidence, p8_sources)}
 
 _P3 = """
   with n as (select snapshot_id, path, arg_max(coalesce('v' || primary_type, 'n'), delivered_at) as t from node_rows group by all),

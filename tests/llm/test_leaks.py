@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from canopy.llm import leaks
@@ -47,31 +48,67 @@ def test_words():
     assert words_of(None) == words_of("") == []
 
 
-@pytest.mark.parametrize("most_windows", [leaks.MOST_WINDOWS, 0])
-def test_exact_passages(spark, most_windows):
-    d = spark.createDataFrame(DOCUMENTS, "doc_id bigint, text string").selectExpr("*", "'x' as item_id", "1 as salt").repartition(3)
+#: All at once, and in blocks of a few items.
+BOUNDS = [leaks.MOST_SIGNATURES, 150]
+
+
+@pytest.mark.parametrize("most", BOUNDS)
+def test_exact_passages(spark, most):
+    d = spark.createDataFrame([*DOCUMENTS, (None, ITEMS[5][1])], "doc_id bigint, text string").selectExpr("*", "'x' as item_id", "1 as salt").repartition(3)
     i = spark.createDataFrame(ITEMS, "item_id bigint, text string").selectExpr("*", "'x' as doc_id")
-    got = [(r.doc_id, r.item_id) for r in leaked_items(d, i, most_windows=most_windows).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute()
-    assert len(got) > 40
-    assert leaked_items(d.limit(0), i, most_windows=most_windows).count() == 0
-    assert leaked_items(d, i.limit(0), most_windows=most_windows).count() == 0
+    got = [(r.doc_id, r.item_id) for r in leaked_items(d, i, most_signatures=most).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute() | {(None, i) for d, i in brute() if d == 303}
+    assert len(got) > 40 and any(doc is None for doc, _ in got)
+    assert leaked_items(d.limit(0), i, most_signatures=most).count() == 0
+    assert leaked_items(d, i.limit(0), most_signatures=most).count() == 0
+
 
+def edited(words, edits, rnd):
+    for _ in range(edits):
+        k, kind = rnd.randint(0, len(words) - 1), rnd.randint(0, 2)
+        words = words[:k] + ([] if kind == 1 else [rnd.choice(VOCABULARY)]) + words[k + (kind != 2) :]
+    return words
 
-def test_recall_within_edits(spark):
-    rnd = random.Random(4)
-    items = [(k, " ".join(rnd.choice(VOCABULARY) for _ in range(12))) for k in range(60)]
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_recall_within_edits(spark, edits):
+    """Against all windows of all documents and items, compared one by one."""
+    rnd = random.Random(edits)
+    items = [(k, " ".join(rnd.choice(VOCABULARY) for _ in range(rnd.choice([12, 12, 20])))) for k in range(60)]
     docs = []
-    for k, t in items:
-        w = t.split()
-        w[rnd.randint(0, 11)] = "other"
-        docs.append((k, "before it " + " ".join(w) + " after it"))
-    got = {(r.doc_id, r.item_id) for r in leaked_items(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"), edits=1).collect()}
-    found = sum((k, k) in got for k, _ in items)
-    assert found / len(items) >= 0.9 and all(a == b for a, b in got)
-
-
-def test_edit_distance():
-    assert leaks.within_edits(list("abc"), list("abd"), 1) and not leaks.within_edits(list("abc"), list("xbd"), 1)
-    assert leaks.within_edits(list("abcd"), list("bcd"), 1) and not leaks.within_edits(list("abcd"), list("cd"), 1)
-    assert leaks.repetitions(0, 12) == 1 < leaks.repetitions(1, 12) <= leaks.repetitions(2, 12)
+    for k, t in [*items, *items, *items]:
+        docs.append((len(docs), "before it " + " ".join(edited(t.split(), rnd.randint(0, edits), rnd)) + " and after it comes more"))
+    want = {}
+    for d, text in docs:
+        w = words_of(text)
+        for i, t in items:
+            x = words_of(t)
+            if set(w) & set(x):
+                n = min(leaks.edit_distance(x[b : b + 12], w[a : a + 12], edits) for a in range(len(w) - 11) for b in range(len(x) - 11))
+                if n <= edits:
+                    want[d, i] = n
+    sides = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.edits for r in leaked_items(*sides, edits=edits).collect()}
+    assert got.keys() <= want.keys() and all(got[k] >= want[k] for k in got)
+    assert len(want) > 100 and len(got) / len(want) >= 0.9
+    for n in range(edits + 1):
+        at = [k for k in want if want[k] == n]
+        assert sum(k in got for k in at) / len(at) >= 0.9
+    blocks = {(r.doc_id, r.item_id): r.edits for r in leaked_items(*sides, edits=edits, most_signatures=3000).collect()}
+    assert blocks == got
+
+
+def test_edit_distance(monkeypatch):
+    d = leaks.edit_distance
+    assert d(list("abc"), list("abd"), 1) == 1 and d(list("abc"), list("xbd"), 1) == 2
+    assert d(list("abcd"), list("bcd"), 1) == 1 and d(list("abcd"), list("cd"), 1) == 2 and d(list("ab"), list("ab"), 0) == 0
+    rnd = random.Random(9)
+    rows = [([rnd.randint(0, 3) for _ in range(8)], [rnd.randint(0, 3) for _ in range(8)]) for _ in range(500)] + [([1] * 8, [1] * 8)]
+    for most in range(4):
+        a, b = (np.array([r[k] for r in rows], np.uint64) for k in (0, 1))
+        assert leaks.edit_distances(a, b, most).clip(max=most + 1).tolist() == [d(x, y, most) for x, y in rows]
+    needed = [leaks.repetitions(e, 12) for e in range(7)]
+    assert needed[0] == 1 < needed[1] and needed == sorted(needed)
+    monkeypatch.setattr(leaks, "MOST_REPETITIONS", 20)
+    with pytest.raises(ValueError):
+        leaks.repetitions(6, 12)
