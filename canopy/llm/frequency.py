@@ -7,7 +7,8 @@ stack adds up all prefixes at once: an entry that leaves the stack hands its
 count and its records on to its prefix.
 
 A term that a third of all records have would make one route as heavy, so a
-route is a first term and a share of the records.  The shares' records are
+route is a first term and a share of the records; there are as many shares as
+keep the records of one few, whatever the cluster.  The shares' records are
 disjoint: counts and record counts of a term are plain sums over its shares.
 """
 
@@ -22,31 +23,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Records of one share: what a stack holds of them is 16 bytes each and level.
+RECORDS_OF_A_SHARE = 500_000
+
+
 class _Stack:
-    """The prefixes of the current suffix with their counts, and records where prefixes share them."""
+    """The prefixes of the current suffix with their counts and records.
 
-    def __init__(self, keep_records: bool) -> None:
-        self.keep = keep_records
+    Records are 128-bit digests, kept as sorted arrays; what came since an array was
+    last made is folded into it when it is as much again, so that a level holds
+    at most twice its different records.
+    """
+
+    def __init__(self) -> None:
         self.field: str | None = None
         self.terms: list[str] = []
         self.counts: list[int] = []
-        self.distinct: list[int] = []
-        self.records: list[set] = []
-        self.last_record: object = None
+        self.parts: list[list[np.ndarray]] = []
+        self.sizes: list[list[int]] = []  # of a level: different records when it was last folded, records since
+
+    @staticmethod
+    def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(parts)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]).any(axis=1)
+        return both[new]
+
+    def _put(self, level: int, records: np.ndarray) -> None:
+        self.parts[level].append(records)
+        size = self.sizes[level]
+        size[1] += len(records)
+        if size[1] > max(size[0], 1 << 12):
+            folded = self._distinct(self.parts[level])
+            self.parts[level], self.sizes[level] = [folded], [len(folded), 0]
 
     def pop(self, depth: int) -> Iterator[tuple]:
         while len(self.terms) > depth:
-            count, distinct, records = self.counts.pop(), self.distinct.pop(), self.records.pop()
-            n = len(records) if self.keep else distinct
-            if count:
-                yield self.field, tuple(self.terms), count, n
+            count, records = self.counts.pop(), self._distinct(self.parts.pop())
+            self.sizes.pop()
+            yield self.field, tuple(self.terms), count, len(records)
             self.terms.pop()
             if self.terms:
                 self.counts[-1] += count
-                if self.keep:
-                    if len(self.records[-1]) < len(records):
-                        self.records[-1], records = records, self.records[-1]
-                    self.records[-1] |= records
+                self._put(len(self.terms) - 1, records)
 
     def move(self, field: str, terms: list[str]) -> Iterator[tuple]:
         """To the next suffix; yields the prefixes that are complete."""
@@ -61,21 +81,16 @@ class _Stack:
         for t in terms[same:]:
             self.terms.append(t)
             self.counts.append(0)
-            self.distinct.append(0)
-            self.records.append(set())
-        self.last_record = None
+            self.parts.append([])
+            self.sizes.append([0, 0])
 
-    def add(self, records: list, counts: np.ndarray) -> None:
-        """Rows of the current suffix, sorted by record."""
+    def add(self, records: np.ndarray, counts: np.ndarray) -> None:
+        """Rows of the current suffix."""
         self.counts[-1] += int(counts.sum())
-        if self.keep:
-            self.records[-1].update(records)
-        elif records:
-            self.distinct[-1] += sum(a != b for a, b in zip([self.last_record, *records], records, strict=False))
-            self.last_record = records[-1]
+        self._put(len(self.terms) - 1, records)
 
 
-def count_terms(sequences: DataFrame, field: str = "field", terms: str = "terms", record: str = "record", rows: str = "n_rows", longest: int = 1) -> DataFrame:
+def count_terms(sequences: DataFrame, field: str = "field", terms: str = "terms", record: str = "record", rows: str = "n_rows", longest: int = 1, most_records: int | None = None) -> DataFrame:
     """``field``, ``term`` (an array of 1 to ``longest`` terms), ``n_rows`` and ``n_records``.
 
     ``sequences`` has arrays of terms with the record they belong to and a
@@ -84,22 +99,24 @@ def count_terms(sequences: DataFrame, field: str = "field", terms: str = "terms"
     record counts as a record of its own, a null field is a field.  A term that
     stands twice in a row counts twice, its record once.  Empty input gives
     an empty result; other columns are ignored.
+
+    ``most_records`` is a bound of the number of records, by default the number of
+    sequences, which then are counted; it decides into how many shares the records
+    go.  A share's records are all that a task holds of a term, however common.
     """
-    spark = sequences.sparkSession
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = sequences.count() if most_records is None else most_records
+    shares = -(-max(1, n) // RECORDS_OF_A_SHARE)
+    text = F.coalesce(F.concat(F.lit("="), F.col(record).cast("string")), F.lit(""))
     s = sequences.select(
-        F.col(field).alias("field"), F.array_compact(F.col(terms)).alias("terms"), F.coalesce(F.concat(F.lit("="), F.col(record).cast("string")), F.lit("")).alias("record"), F.col(rows).cast("bigint").alias("n")
+        F.col(field).alias("field"), F.array_compact(F.col(terms)).alias("terms"), F.xxhash64(text).alias("r1"), F.xxhash64(F.lit(1), text).alias("r2"), F.col(rows).cast("bigint").alias("n")
     ).where(F.size("terms") > 0)
-    if longest == 1:
-        suffixes = s.select("field", F.explode("terms").alias("term"), "record", "n").select("field", F.array("term").alias("suffix"), "record", "n")
-    else:
-        at = F.explode(F.sequence(F.lit(1), F.size("terms")))
-        suffixes = s.select("field", "terms", "record", "n", at.alias("i")).select("field", F.slice("terms", F.col("i"), F.lit(longest)).alias("suffix"), "record", "n")
-    share = F.pmod(F.xxhash64("record"), F.lit(shares))
-    routed = suffixes.withColumn("share", share).repartition("field", F.col("suffix")[0], "share").sortWithinPartitions("share", F.desc("field"), F.desc("suffix"), "record")
+    at = F.explode(F.sequence(F.lit(1), F.size("terms")))
+    suffixes = s.select("field", "terms", "r1", "r2", "n", at.alias("i")).select("field", F.slice("terms", F.col("i"), F.lit(longest)).alias("suffix"), "r1", "r2", "n")
+    share = F.pmod(F.col("r1"), F.lit(shares))
+    routed = suffixes.withColumn("share", share).repartition("field", F.col("suffix")[0], "share").sortWithinPartitions("share", F.desc("field"), F.desc("suffix"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack, share = _Stack(longest > 1), None
+        stack, share = _Stack(), None
         out: list[tuple] = []
 
         def pack() -> pa.RecordBatch:
@@ -130,12 +147,13 @@ def count_terms(sequences: DataFrame, field: str = "field", terms: str = "terms"
             border[1:] |= (names[1:] != names[:-1]) | (part[1:] != part[:-1])
             begin = np.flatnonzero(border)
             counts = batch.column("n").to_numpy(zero_copy_only=False)
+            records = np.stack([batch.column(r).to_numpy(zero_copy_only=False) for r in ("r1", "r2")], axis=1)
             for a, b in zip(begin, [*begin[1:], n], strict=True):
                 if part[a] != share:  # another share: nothing is handed on
                     out.extend(stack.pop(0))
                     stack.field, share = None, part[a]
                 out.extend(stack.move(batch.column("field")[a].as_py(), suffix[a].as_py()))
-                stack.add(batch.column("record").slice(a, b - a).to_pylist(), counts[a:b])
+                stack.add(records[a:b], counts[a:b])
             if len(out) >= 10_000:
                 yield pack()
         out.extend(stack.pop(0))

@@ -46,3 +46,15 @@ def test_one_term_of_most_records_is_spread(spark):
     df = spark.range(20_000).select(F.lit("f").alias("field"), F.array(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 50))).alias("terms"), F.col("id").cast("string").alias("record"), F.lit(1).alias("n_rows"))
     got = {r.term[0]: (r.n_rows, r.n_records) for r in count_terms(df).collect()}
     assert got["hot"] == (6667, 6667) and len(got) == 51
+
+
+def test_shares_by_records(spark, monkeypatch):
+    """The same counts with many shares, which follow from the number of records alone."""
+    from canopy.llm import frequency
+
+    rnd = random.Random(7)
+    rows = [("f", [rnd.choice("aab") for _ in range(4)], str(k % 3000), 1) for k in range(9000)]
+    df = spark.createDataFrame(rows, "field string, terms array<string>, record string, n_rows int")
+    monkeypatch.setattr(frequency, "RECORDS_OF_A_SHARE", 700)
+    got = {(r.field, tuple(r.term)): (r.n_rows, r.n_records) for r in count_terms(df, longest=3).collect()}
+    assert got == brute(rows, 3)
