@@ -5,6 +5,8 @@ the parity of their running count tell delimiters from commas inside quotes;
 counts and type checks then make each line either a typed row or a reject with
 the first reason that applies: ``quoting``, ``column_count``, ``value``.
 The work is a narrow map: no shuffle, and memory in proportion to a batch.
+Files whose quoted fields may hold line ends are read in splits: the parity of
+the quotes ahead of a split tells which of its line ends are ends of records.
 
 Defined results: null and empty lines are ``column_count``; trailing CR and LF
 don't belong to a line; a line repeated in the input is judged each time;
@@ -20,10 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUOTE, COMMA, CR, LF = 34, 44, 13, 10
+#: Bytes of a split of a file, and of what is read at once beyond its end to finish a record.
+SPLIT, READ_ON = 64 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -189,6 +195,7 @@ def parse_lines(column: pa.Array, layouts: dict[int, Sequence[Field]], defaults:
                 values[f.name][lines] = number
             else:
                 ok = read_records(texts) if f.kind == "record" else np.ones(len(lines), bool)
+                texts = pc.replace_substring(texts, '""', '"')  # fields without quotes have none
                 values[f.name][lines] = texts.to_numpy(zero_copy_only=False)
             fine &= ok
         for name, other in defaults.items():
@@ -232,3 +239,91 @@ def load_lines(
             yield out
 
     return lines.select(identifier, text).mapInArrow(parse, schema)
+
+
+# ---------------------------------------------------------------- files
+
+
+def _open(path: str):
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def record_starts(data: np.ndarray, inside: bool, begins: bool) -> np.ndarray:
+    """Where records start among the bytes, and at their end: ``inside`` a quoted field at the first byte, which itself ``begins`` a record or not."""
+    within = np.logical_xor.accumulate(np.concatenate(([inside], data == QUOTE)))[:-1]  # quotes ahead of each byte, odd or even
+    after = np.flatnonzero((data == LF) & ~within) + 1
+    return np.concatenate(([0], after)) if begins else after
+
+
+def _records_of(path: str, start: int, end: int, inside: bool) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of each record that starts in a split; the last one is read to its end, wherever that is."""
+    with _open(path) as f:
+        f.seek(max(start - 1, 0))
+        before = f.read(1) if start else b"\n"
+        raw = f.read(end - start)
+        starts = record_starts(np.frombuffer(raw, np.uint8), inside, before == b"\n" and not inside)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield start + a, raw[a : b - 1]
+        last = int(starts[-1]) if len(starts) else len(raw)
+        if last < len(raw):
+            parts, odd = [raw[last:]], raw.count(b'"', last) % 2 == 1
+            while more := f.read(READ_ON):
+                ends = record_starts(np.frombuffer(more, np.uint8), odd, False)
+                if len(ends):
+                    parts.append(more[: int(ends[0]) - 1])
+                    break
+                parts.append(more)
+                odd ^= more.count(b'"') % 2 == 1
+            yield start + last, b"".join(parts)
+
+
+def read_file_records(spark: SparkSession, paths: Sequence[str], split: int = SPLIT) -> DataFrame:
+    """``record_id`` (the file and the offset in it) and ``raw_line`` of every record of files.
+
+    A line end within a quoted field doesn't end a record, so that a quote which
+    is never closed takes the rest of its file with it.  Quotes are counted split by
+    split first; the running parity of the counts says whether a split begins
+    within quotes, so that all splits are read at the same time.  ``paths`` are
+    URIs or absolute paths that every executor reaches.  Bytes that aren't UTF-8 become
+    replacement characters.  An empty file has no records, and a line end at the end of
+    a file begins none.
+    """
+    sizes = [(p, fs.FileSystem.from_uri(p)[0].get_file_info(fs.FileSystem.from_uri(p)[1]).size) for p in paths]
+    files = spark.createDataFrame(sizes, "file string, size bigint").where("size > 0")
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split).cast("bigint"))).alias("start")
+    splits = files.select("file", "size", start).select("file", "start", F.least(F.col("start") + split, F.col("size")).alias("end")).repartition("file", "start")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = []
+            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _open(path) as f:
+                    f.seek(start)
+                    odd.append(f.read(end - start).count(b'"') % 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.int32())], names=["file", "start", "end", "odd"])
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["record_id", "raw_line"])
+
+        for batch in batches:
+            for path, start, end, inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = []
+                for offset, raw in _records_of(path, start, end, inside):
+                    rows.append((f"{path}#{offset}", raw.decode("utf-8", "replace")))
+                    if len(rows) == 10_000:
+                        yield pack(rows)
+                        rows = []
+                if rows:
+                    yield pack(rows)
+
+    counted = splits.mapInArrow(count, "file string, start bigint, end bigint, odd int")
+    ahead = F.sum("odd").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    begun = counted.select("file", "start", "end", (F.coalesce(ahead, F.lit(0)) % 2 == 1).alias("inside")).repartition("file", "start")
+    return begun.mapInArrow(cut_up, "record_id string, raw_line string")
+
+
+def load_files(spark: SparkSession, paths: Sequence[str], layouts: dict[int, Sequence[Field]] = GC_LAYOUTS, defaults: dict[str, str] = GC_DEFAULTS, only: str | None = None, split: int = SPLIT) -> DataFrame:
+    """``load_lines`` of the records of files: ``record_id``, ``reason`` and the fields."""
+    return load_lines(read_file_records(spark, paths, split), "record_id", "raw_line", layouts, defaults, only)

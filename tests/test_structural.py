@@ -1,11 +1,14 @@
 """Line loading against a character-by-character reading of the rules."""
 
+import random
 import re
 
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from canopy.operators import structural
 from canopy.operators.structural import GC_DEFAULTS, GC_LAYOUTS, load_lines, parse_lines
 
 UUID = "0f1e2d3c-4b5a-6978-8796-a5b4c3d2e1f0"
@@ -108,3 +111,43 @@ def test_frames(spark):
     assert sorted((r.line_id, r.reason or "") for r in got.collect()) == sorted((k, reason_of(x) or "") for k, x, _ in rows)
     assert load_lines(df, only="valid").count() + load_lines(df, only="rejected").count() == len(rows)
     assert load_lines(df.limit(0)).count() == 0
+
+
+TEXT_LAYOUT = {3: (structural.Field("id", "long"), structural.Field("a", "text"), structural.Field("b", "text"))}
+
+
+def test_doubled_quotes(spark):
+    rows = [(1, '1,"x""y",'), (2, '2,"""",z'), (3, '3,"",""""""'), (4, '4,x""y,z'), (5, '5,"a, b","c\nd"')]
+    got = {r.line_id: (r.reason, r.a, r.b) for r in structural.load_lines(spark.createDataFrame(rows, "line_id int, raw_line string"), layouts=TEXT_LAYOUT, defaults={}).collect()}
+    assert got == {1: (None, 'x"y', ""), 2: (None, '"', "z"), 3: (None, "", '""'), 4: ("quoting", None, None), 5: (None, "a, b", "c\nd")}
+
+
+@pytest.mark.parametrize("split", [3, 17, 1 << 20])
+def test_files(spark, tmp_path, split, monkeypatch):
+    """Line ends in quotes, against the csv module, wherever the splits fall."""
+    import csv
+    import io
+
+    rnd = random.Random(split)
+    pieces = ["x", "é", '"', "\n", "\r\n", ",", " ", "long text"]
+    want, paths = {}, []
+    for k in range(3):
+        rows = [[str(n), *("".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 6))) for _ in range(2))] for n in range(40)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows(rows)
+        text = out.getvalue()[: -1 if k == 2 else None]
+        paths.append(str(tmp_path / f"{k}.csv"))
+        with open(paths[-1], "w", newline="", encoding="utf-8") as f:
+            f.write(text)
+        want |= {(k, int(r[0])): (r[1], r[2]) for r in rows}
+    (tmp_path / "empty.csv").write_bytes(b"")
+    got = structural.load_files(spark, [*paths, str(tmp_path / "empty.csv")], TEXT_LAYOUT, {}, split=split).collect()
+    assert all(r.reason is None for r in got)
+    assert {(paths.index(r.record_id.split("#")[0]), r.id): (r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_file_with_a_quote_that_stays_open(spark, tmp_path):
+    path = tmp_path / "open.csv"
+    path.write_bytes(b'1,a,b\n2,"c,d\n3,e,f\n\xff')
+    got = [(r.id, r.reason) for r in structural.load_files(spark, [str(path)], TEXT_LAYOUT, {}, split=5).collect()]
+    assert sorted(got, key=repr) == [(1, None), (None, "quoting")]
