@@ -91,3 +91,22 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="canopy-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def with_places(df: DataFrame, order: Sequence[Column], place: str, first: int = 1) -> DataFrame:
+    """Adds the rows' number in an order, from ``first``, without bringing them together.
+
+    Ranges of the order are sorted apart; the driver sees their sizes, one number
+    per partition, and these give each range its offset.  Rows that the order
+    doesn't tell apart are numbered in any order.
+    """
+    keyed = df.select("*", *(c.alias(f"__o{k}") for k, c in enumerate(order)))
+    by = [f"__o{k}" for k in range(len(order))]
+    ranged = keyed.repartitionByRange(*by).sortWithinPartitions(*by).drop(*by)
+    ranged = cut(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    offsets, total = [], first
+    for part, n in sorted(ranged.groupBy("__part").count().collect()):
+        offsets.append((part, total))
+        total += n
+    at = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part int, __offset bigint"))
+    return ranged.join(at, "__part").withColumn(place, F.col("__offset") + F.col("__at")).drop("__part", "__at", "__offset")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions import paths
+from canopy.operators.common import cut, row_digest
 from canopy.operators.tree import group_values
 from canopy.schema import VALUE_COLUMNS
 
@@ -30,8 +31,6 @@ def changed_rows(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFr
     A prune ahead of the comparison: what is equal is dropped by one narrow
     aggregation over both sides, before any values are collected.
     """
-    from canopy.operators.common import row_digest
-
     columns = ["property_type", "multiple", "position", *VALUE_COLUMNS, *(c for c in before.columns if c == "binary_sha256")]
     sign = F.col("double_value").cast("string").alias("double_value")
 
@@ -117,6 +116,10 @@ def dirty_paths(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def refresh(published: DataFrame, current: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The published rows outside the ranges together with the current rows inside them."""
+    """The published rows outside the ranges together with the current rows inside them.
+
+    The ranges are worked out once and kept as a checkpoint: both sides meet them.
+    """
+    ranges = cut(ranges)
     stale = dirty_paths(published, ranges).select("path").distinct()
     return published.join(stale, "path", "left_anti").unionByName(dirty_paths(current, ranges))

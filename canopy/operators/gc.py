@@ -7,15 +7,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import values
 from canopy.operators.common import cut
+from canopy.schema import FormatError
 
 ARCHIVE_NAME = r"\Adata([0-9]{5,})([a-z])?\.tar\z"
 #: A closure of more rounds than this isn't one of real data.
 MOST_ROUNDS = 10_000
+#: Rounds of a closure that are kept apart.
+ROUNDS_APART = 16
 
 
 def archive_names(files: DataFrame, name: str = "file_name") -> DataFrame:
@@ -25,9 +30,17 @@ def archive_names(files: DataFrame, name: str = "file_name") -> DataFrame:
     return found.withColumn("archive_number", F.regexp_extract(F.col(name), ARCHIVE_NAME, 1).cast("bigint")).withColumn("letter", F.when(letter == "", "a").otherwise(letter))
 
 
-def newest_letters(files: DataFrame, index_valid: str | None = None) -> DataFrame:
-    """Per archive number the file of the highest letter, among those with a valid index if there are any."""
+def newest_letters(files: DataFrame, index_valid: str | None = None, unique: bool = False) -> DataFrame:
+    """Per archive number the file of the highest letter, among those with a valid index if there are any.
+
+    With ``unique`` two files of one number and letter (one may bear the letter
+    ``a``, the other none) raise FormatError; else the greater name counts.
+    """
     named = archive_names(files)
+    if unique:
+        twice = named.groupBy("archive_number", "letter").agg(F.countDistinct("file_name").alias("n"), F.min("file_name").alias("f")).where("n > 1").select("f").first()
+        if twice:
+            raise FormatError(f"two archives of one number and letter: {twice.f}")
     rank = F.struct(F.col(index_valid), "letter", "file_name") if index_valid else F.struct("letter", "file_name")
     best = named.groupBy("archive_number").agg(F.max(rank).alias("m"))
     return best.select("archive_number", F.col("m.letter").alias("letter"), F.col("m.file_name").alias("file_name"))
@@ -41,8 +54,8 @@ def first_locations(entries: DataFrame, probe_order: str) -> DataFrame:
 def mark(segments: DataFrame, references: DataFrame, head: DataFrame, full: bool, retained: int, protected: DataFrame | None = None) -> DataFrame:
     """``segment``, ``archive``, ``kind``, ``size`` and ``reclaimable``.
 
-    ``head`` is one row with the head's ``segment`` and generations.  Segments are
-    seen in reverse order of writing: a compacted one ahead of the head goes, the
+    ``head`` is the head's row of ``segments``; without one nothing goes by its
+    generation, and all compacted segments count as ahead.  Segments are seen in reverse order of writing: a compacted one ahead of the head goes, the
     head stays, other data segments go by their generations (unknown ones stay),
     and bulk segments go unless a data segment that stays refers to them.
     Each bulk segment is taken to be written before its referrers.
@@ -50,14 +63,14 @@ def mark(segments: DataFrame, references: DataFrame, head: DataFrame, full: bool
     Whether a segment is ahead of the head is a comparison with the head's own
     place, not a window over all segments.
     """
-    h = head.agg(F.max(F.struct("segment", "generation", "full_generation", "is_compacted"))).scalar()
-    at = segments.join(F.broadcast(head.select("segment").limit(1)), "segment", "left_semi").agg(F.max(F.struct("archive", "position"))).scalar()
-    s = segments.withColumn("__h", h)
-    is_head = F.col("segment") == F.col("__h.segment")
-    ahead = F.coalesce(F.struct("archive", "position") > at, F.lit(True))
-    by_generation = F.coalesce(
-        values.reclaimable((F.col("__h.generation"), F.col("__h.full_generation"), F.col("__h.is_compacted")), (F.col("generation"), F.col("full_generation"), F.col("is_compacted")), full, retained), F.lit(False)
-    )
+    h = head.select("segment", "archive", "position", "generation", "full_generation", "is_compacted").first()  # one row: it goes into the plan as it is
+    s = segments
+    is_head = F.col("segment") == F.lit(h.segment) if h else F.lit(False)
+    by_generation, ahead = F.lit(False), F.lit(True)
+    if h:
+        ahead = F.struct("archive", "position") > F.struct(F.lit(h.archive), F.lit(h.position).cast(segments.schema["position"].dataType))
+        own = tuple(F.lit(x) for x in (h.generation, h.full_generation, h.is_compacted))
+        by_generation = F.coalesce(values.reclaimable(own, (F.col("generation"), F.col("full_generation"), F.col("is_compacted")), full, retained), F.lit(False))
     keep = is_head
     if protected is not None:
         s = s.join(protected.select("segment").distinct().withColumn("__kept", F.lit(True)), "segment", "left")
@@ -69,9 +82,10 @@ def mark(segments: DataFrame, references: DataFrame, head: DataFrame, full: bool
     return s.join(alive, "segment", "left").select("segment", "archive", "kind", "size", F.coalesce("__first", F.col("__alive").isNull()).alias("reclaimable"))
 
 
-def sweep(marked: DataFrame, existing_files: DataFrame, savings_gate: bool) -> DataFrame:
+def sweep(marked: DataFrame, existing_files: DataFrame, savings_gate: bool, indexed: DataFrame | None = None) -> DataFrame:
     """Per archive with something to reclaim: ``decision``, its segments and the bytes won.
 
+    ``indexed`` lists the archives (``archive``) that have an index, if not all do.
     An entry takes 512 bytes more than its size, which is filled up to 512.
     """
     occupied = (512 + F.ceil(F.col("size") / 512) * 512).cast("bigint")
@@ -80,7 +94,9 @@ def sweep(marked: DataFrame, existing_files: DataFrame, savings_gate: bool) -> D
         F.sum(occupied).alias("before"), F.sum(F.when(~F.col("reclaimable"), occupied).otherwise(0)).alias("after"),
     )
     files = archive_names(existing_files.select("file_name").distinct())
-    per = per.where(F.col("segments") > 0).join(archive_names(per.select(F.col("archive").alias("file_name")).distinct()).withColumnRenamed("file_name", "archive"), "archive")
+    per = archive_names(per.where(F.col("segments") > 0), "archive")
+    if indexed is not None:  # without its index nobody knows what an archive holds: it is left alone
+        per = per.join(indexed.select("archive").distinct(), "archive", "left_semi")
     letters = files.groupBy("archive_number").agg(F.collect_set("letter").alias("letters"))
     per = per.join(letters, "archive_number", "left")
     next_letter = F.chr(F.ascii("letter") + 1)
@@ -112,14 +128,17 @@ def closure(start: DataFrame, references: DataFrame) -> DataFrame:
     Breadth first: each round joins only what the last one found, and is
     a checkpoint.  The driver sees counts, never segments.
     """
-    seen = frontier = cut(start.select("segment").distinct())
+    frontier = cut(start.select("segment").distinct())
+    seen = [frontier]
     edges = references.select(F.col("source").alias("segment"), "target")
     for _ in range(MOST_ROUNDS):
-        found = edges.join(frontier, "segment", "left_semi").select(F.col("target").alias("segment")).distinct().join(seen, "segment", "left_anti")
+        known = reduce(DataFrame.unionByName, seen)
+        found = edges.join(frontier, "segment", "left_semi").select(F.col("target").alias("segment")).distinct().join(known, "segment", "left_anti")
         frontier = cut(found)
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return known
+        # rounds are kept as they are and put together now and then, so that no row is written every round
+        seen = [cut(known), frontier] if len(seen) >= ROUNDS_APART else [*seen, frontier]
     raise RuntimeError("the references are deeper than any real ones")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.common import cut, lookup
+from canopy.operators.common import cut, lookup, with_places
 from canopy.schema import FormatError
 
 #: Levels of a tree beyond which parents must run in circles.
@@ -24,19 +24,8 @@ def dictionary(nodes: DataFrame, properties: DataFrame) -> DataFrame:
 
 
 def with_ids(strings: DataFrame) -> DataFrame:
-    """``id`` from 1 in the order of ``value``: ranges of values are sorted apart, their counts give the offsets."""
-    ranged = strings.repartitionByRange("value").sortWithinPartitions("value").select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    ranged = cut(ranged)
-    counts = sorted(ranged.groupBy("part").count().collect())
-    offsets, total = {}, 1
-    for part, n in counts:  # one row per partition
-        offsets[part] = total
-        total += n
-    if not offsets:
-        return ranged.select(F.lit(None).cast("bigint").alias("id"), "value")
-    table = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))
-    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.select((F.element_at(table, F.col("part")).cast("bigint") + within).alias("id"), "value")
+    """``id`` from 1 in the order of ``value``."""
+    return with_places(strings.select("value"), [F.col("value")], "id").select("id", "value")
 
 
 def expand(properties: DataFrame, strings: DataFrame, types: DataFrame, paths: DataFrame) -> DataFrame:

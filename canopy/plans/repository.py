@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import paths, values
 from canopy.operators import checkpoints, commits, diff, digest, gc, interned, orphans, search, sinks, tree, versions
-from canopy.operators.common import lookup
+from canopy.operators.common import lookup, with_places
 from canopy.plans import models as m
 from canopy.schema import NODES, VALUE_COLUMNS, violations
 from canopy.sources.journal import last_gc_entry, parse_gc_line, retention_boundary
@@ -113,7 +113,7 @@ def tree_listing(s, d):
 
 @query(T(f"select path, row_number() over (order by {SEGMENTS_OF}) as place from n"))
 def document_order(s, d):
-    return m.nodes(s, d).select("path", F.row_number().over(Window.orderBy(paths.document_order(F.col("path")))).cast("bigint").alias("place"))
+    return with_places(m.nodes(s, d).select("path"), [paths.document_order(F.col("path"))], "place")
 
 
 @query(T("select primary_type, count(*) as nodes from n group by 1"))
@@ -150,19 +150,12 @@ def exploded_binaries(s, d):
     return tree.explode_values(docs, "text", "Binary", "text", multiple=False)
 
 
-@query(T(f"""select n.path, '{{"path":"' || n.path || '"' as start, count(distinct p.name) as properties from n left join p on p.path = n.path where not regexp_matches(n.path, '[\\x00-\\x1f"\\\\]') group by n.path"""))
-def json_lines_shape(s, d):
-    """Only paths that SQL needn't escape; ``json_lines_shape_all`` has the rest too."""
-    return _json_shapes(m.nodes(s, d).where(~F.col("path").rlike(r'[\x00-\x1f"\\]')), m.properties(s, d))
-
-
-@query()
-def json_lines_shape_all(s, d):
-    return _json_shapes(m.nodes(s, d), m.properties(s, d))
+_JSON_PATH = "replace(replace(replace(replace(replace(n.path, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
 
 
-def _json_shapes(nodes: DataFrame, properties: DataFrame) -> DataFrame:
-    lines = sinks.json_lines(nodes, properties)
+@query(T(f"""select n.path, '{{"path":"' || {_JSON_PATH} || '"' as start, count(distinct p.name) as properties from n left join p on p.path = n.path group by n.path"""))
+def json_lines_shape(s, d):
+    lines = sinks.json_lines(m.nodes(s, d), m.properties(s, d))
     n = F.size(F.json_object_keys(F.get_json_object("line", "$.properties")))
     return lines.select("path", F.substring_index("line", ',"properties":', 1).alias("start"), n.cast("bigint").alias("properties"))
 
@@ -221,22 +214,15 @@ def path_functions(s, d):
     return m.nodes(s, d).select("path", paths.normalize(p).alias("normalized"), paths.depth(p).alias("levels"), F.array_join(paths.ancestors(p), "|").alias("above"), paths.parent(p).alias("up"))
 
 
-@query(T(f"select path, name, position, {TEXT_SQL} as text from p where double_value is null or isnan(double_value) or isinf(double_value) or abs(double_value) between 1e-3 and 9999999"))
+@query(T(f"select path, name, position, {TEXT_SQL} as text from p"))
 def canonical_text(s, d):
-    """Only doubles that SQL prints alike; ``canonical_text_all`` has the rest too."""
-    p = m.properties(s, d).where("double_value is null or isnan(double_value) or abs(double_value) = double('Infinity') or abs(double_value) between 1e-3 and 9999999")
-    return p.select("path", "name", "position", values.canonical_text(*(F.col(c) for c in VALUE_COLUMNS[:4])).alias("text"))
-
-
-@query()
-def canonical_text_all(s, d):
     return m.properties(s, d).select("path", "name", "position", values.canonical_text(*(F.col(c) for c in VALUE_COLUMNS[:4])).alias("text"))
 
 
-@query(T("select distinct property_type, t.id as tag from p join property_types t on t.name = p.property_type"))
+@query(T("select distinct property_type, t.id as tag from p left join property_types t on t.name = p.property_type"))
 def type_tags(s, d):
-    known = table(s, d, "property_types").select(F.col("name").alias("property_type"))
-    return m.properties(s, d).select("property_type").distinct().join(known, "property_type", "left_semi").select("property_type", values.type_tag(F.col("property_type")).alias("tag"))
+    """Types that aren't known have no tag."""
+    return m.properties(s, d).select("property_type").distinct().select("property_type", values.type_tag(F.col("property_type")).alias("tag"))
 
 
 @query(T("select path, name, position, replace(replace(replace(replace(replace(value, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r'), chr(31), '\\x1F') as escaped from p where value is not null"))
@@ -244,14 +230,13 @@ def digest_escape(s, d):
     return m.properties(s, d).where(F.col("value").isNotNull()).select("path", "name", "position", values.escape_digest(F.col("value")).alias("escaped"))
 
 
-@query(T("select distinct name, list_reduce(list_prepend(0::bigint, list_transform(string_split(name, ''), lambda c: unicode(c)::bigint)), lambda h, u: (h * 31 + u) % 4294967296) as unsigned_hash from p where regexp_full_match(name, '[ -~]+')"))
-def java_string_hash(s, d):
-    """Only names whose characters are their UTF-16 units; ``java_string_hash_all`` has the rest too."""
-    return java_string_hash_all(s, d).where(F.col("name").rlike(r"\A[ -~]+\z"))
+def _units(text: str) -> str:
+    """The UTF-16 units of a text in SQL."""
+    return f"flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) >= 65536 then [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] else [unicode(c)] end))"
 
 
-@query()
-def java_string_hash_all(s, d):
+@query(T(f"select distinct name, case when name = '' then 0 else list_reduce(list_prepend(0::bigint, list_transform({_units('name')}, lambda u: u::bigint)), lambda h, u: (h * 31 + u) % 4294967296) end as unsigned_hash from p"))
+def java_string_hash(s, d):
     names = m.properties(s, d).select("name").distinct()
     return names.select("name", F.pmod(values.string_hash(F.col("name")), F.lit(2**32)).alias("unsigned_hash"))
 
@@ -309,20 +294,10 @@ def crc32_of_values(s, d):
     return m.properties(s, d).where(F.col("value").isNotNull()).select("path", "name", "position", F.lpad(F.lower(F.hex(F.crc32("value"))), 8, "0").alias("crc32"))
 
 
-@query(T("select path, name, position, row_number() over (order by value, path, name, position) as place from p where value is not null and regexp_full_match(value, '[ -~]*')"))
+@query(T(f"select path, name, position, row_number() over (order by {_units('value')}, path, name, position) as place from p where value is not null"))
 def utf16_order(s, d):
-    """Only values that SQL orders alike; ``utf16_order_all`` has the rest too."""
-    return _utf16_places(m.properties(s, d).where(F.col("value").rlike(r"\A[ -~]*\z")))
-
-
-@query()
-def utf16_order_all(s, d):
-    return _utf16_places(m.properties(s, d).where(F.col("value").isNotNull()))
-
-
-def _utf16_places(p: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.encode("value", "UTF-16BE"), "path", "name", "position")
-    return p.select("path", "name", "position", F.row_number().over(order).cast("bigint").alias("place"))
+    p = m.properties(s, d).where(F.col("value").isNotNull()).select("path", "name", "position", "value")
+    return with_places(p, [F.encode("value", "UTF-16BE"), F.col("path"), F.col("name"), F.col("position")], "place").select("path", "name", "position", "place")
 
 
 @query(m.SEGMENTS_SQL + """ select segment, (case when v >= 9223372036854775808 then v - 18446744073709551616 else v end)::bigint as upper_half from
@@ -450,8 +425,8 @@ def consistency_corrupt_memory(s, d):
 @query("select c_custkey, row_number() over (order by c_acctbal desc, c_custkey desc) as place from customer")
 def recovery_order(s, d):
     """Candidates by time, then by identifier, newest first."""
-    order = Window.orderBy(F.desc("c_acctbal"), F.desc("c_custkey"))
-    return table(s, d, "customer").select("c_custkey", F.row_number().over(order).cast("bigint").alias("place"))
+    candidates = table(s, d, "customer").select("c_custkey", "c_acctbal")
+    return with_places(candidates, [-F.col("c_acctbal"), -F.col("c_custkey")], "place").select("c_custkey", "place")
 
 
 @query(m.JOURNAL_SQL + " select line_no, line_no > (select max(line_no) from j where event_type <> 'error') as dropped from j")
@@ -464,23 +439,19 @@ def journal_recovery(s, d):
 
 # ---------------------------------------------------------------- digests and refresh
 
-_SHOWN = f"replace(replace(replace(replace(replace({TEXT_SQL}, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r'), chr(31), '\\x1F')"
-_LINES = f"""select n.path, n.path || coalesce(chr(9) || x.text, '') as line from n left join (
-    select path, string_agg(replace(name, '\\', '\\\\') || '=' || t || case when m then '[]' else '' end || ':' || coalesce(v, ''), chr(9) order by name) as text from (
+def _escaped(text: str) -> str:
+    return f"replace(replace(replace(replace(replace({text}, '\\', '\\\\'), chr(9), '\\t'), chr(10), '\\n'), chr(13), '\\r'), chr(31), '\\x1F')"
+
+
+_SHOWN = _escaped(TEXT_SQL)
+_LINES = f"""select n.path, {_escaped('n.path')} || coalesce(chr(9) || x.text, '') as line from n left join (
+    select path, string_agg({_escaped('name')} || '=' || t || case when m then '[]' else '' end || ':' || coalesce(v, ''), chr(9) order by name) as text from (
       select path, name, max(property_type) as t, bool_or(multiple) as m,
         string_agg(coalesce({_SHOWN}, binary_length || '/' || binary_length, 'external:' || binary_reference, ''), chr(31) order by position) filter (position is not null) as v from p group by 1, 2) group by 1) x on x.path = n.path"""
 
 
-@query(T(f"select path, md5(line) as digest from ({_LINES}) where path not in (select path from p where abs(double_value) >= 9999999 or abs(double_value) < 1e-3 or contains(name, chr(9)) or contains(name, chr(10)))"))
+@query(T(f"select path, md5(line) as digest from ({_LINES})"))
 def digest_lines(s, d):
-    """Only nodes whose doubles and names SQL prints alike; ``digest_lines_all`` has the rest too."""
-    p = m.properties(s, d)
-    odd = p.where("(not isnan(double_value) and abs(double_value) <> double('Infinity') and abs(double_value) >= 9999999) or abs(double_value) < 1e-3 or isnan(double_value) or abs(double_value) = double('Infinity') or name like '%\\t%' or name like '%\\n%'").select("path").distinct()
-    return digest.digest_lines(m.nodes(s, d), p).join(odd, "path", "left_anti").select("path", F.md5("line").alias("digest"))
-
-
-@query()
-def digest_lines_all(s, d):
     return digest.digest_lines(m.nodes(s, d), m.properties(s, d)).select("path", F.md5("line").alias("digest"))
 
 
@@ -560,14 +531,14 @@ def node_paths(s, d):
     return interned.node_paths(table(s, d, "interned_nodes"), table(s, d, "interned_strings"))
 
 
-@query(f"""with recursive {_WALK} select w.path, n.value as name, t.name as property_type, p.multiple, p.position, v.value, p.long_value, p.boolean_value, p.binary_length, b.value as binary_reference
+@query(f"""with recursive {_WALK} select w.path, n.value as name, t.name as property_type, p.multiple, p.position, v.value, p.long_value, p.double_value, p.boolean_value, p.binary_length, b.value as binary_reference
   from interned_properties p join w on w.id = p.node_id join interned_strings n on n.id = p.name_id join property_types t on t.id = p.type_id
   left join interned_strings v on v.id = p.value_id left join interned_strings b on b.id = p.binary_reference_id""")
 def properties_expanded(s, d):
     strings = table(s, d, "interned_strings")
     node = interned.node_paths(table(s, d, "interned_nodes"), strings)
     out = interned.expand(table(s, d, "interned_properties"), strings, table(s, d, "property_types"), node)
-    return out.select("path", "name", "property_type", "multiple", "position", "value", "long_value", "boolean_value", "binary_length", "binary_reference")
+    return out.select("path", "name", "property_type", "multiple", "position", "value", "long_value", "double_value", "boolean_value", "binary_length", "binary_reference")
 
 
 @query("select n.id, s.value as name, t.value as primary_type from interned_nodes n left join interned_strings s on s.id = n.name_id left join interned_strings t on t.id = n.primary_type_id")

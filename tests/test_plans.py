@@ -13,7 +13,7 @@ from canopy.operators import tree
 SMALL = Path(entry.SMALL)
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
 #: Queries that checkpoint on the way: making them runs them.
-EAGER = {"node_paths", "properties_expanded", "subtree_hashes", "interned_ids", "segment_closure", "reclaim_invariant"}
+EAGER = {"node_paths", "properties_expanded", "subtree_hashes", "interned_ids", "segment_closure", "reclaim_invariant", "document_order", "utf16_order", "recovery_order", "refresh_merge_nodes", "refresh_merge_properties"}
 
 
 def plan(df):

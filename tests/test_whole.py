@@ -56,7 +56,7 @@ def escaped(t):
 
 
 def test_canonical_text(spark, rows):
-    assert sorted(map(repr, result(spark, "canonical_text_all"))) == sorted(repr((r.path, r.name, r.position, text(r))) for r in rows)
+    assert sorted(map(repr, result(spark, "canonical_text"))) == sorted(repr((r.path, r.name, r.position, text(r))) for r in rows)
 
 
 def test_java_string_hash(spark, rows):
@@ -66,13 +66,13 @@ def test_java_string_hash(spark, rows):
             h = (h * 31 + u) % 2**32
         return h
 
-    assert dict(result(spark, "java_string_hash_all")) == {r.name: hashed(r.name) for r in rows}
+    assert dict(result(spark, "java_string_hash")) == {r.name: hashed(r.name) for r in rows}
 
 
 def test_utf16_order(spark, rows):
     key = lambda r: (units(r.value), r.path.encode(), r.name.encode(), -1 if r.position is None else r.position)
     expected = [(r.path, r.name, r.position, k) for k, r in enumerate(sorted((r for r in rows if r.value is not None), key=key), 1)]
-    assert sorted(result(spark, "utf16_order_all"), key=lambda r: r[3]) == expected
+    assert sorted(result(spark, "utf16_order"), key=lambda r: r[3]) == expected
 
 
 def test_digest_lines(spark, rows, paths):
@@ -94,7 +94,7 @@ def test_digest_lines(spark, rows, paths):
             out += f"\t{escaped(name)}={max(r.property_type for r in held[path][name])}{'[]' if any(r.multiple for r in held[path][name]) else ''}:{v}"
         return hashlib.md5(out.encode()).hexdigest()
 
-    assert dict(result(spark, "digest_lines_all")) == {p: line(p) for p in paths}
+    assert dict(result(spark, "digest_lines")) == {p: line(p) for p in paths}
 
 
 def test_json_lines_shape(spark, rows, paths):
@@ -103,4 +103,4 @@ def test_json_lines_shape(spark, rows, paths):
     names = defaultdict(set)
     for r in rows:
         names[r.path].add(r.name)
-    assert sorted(result(spark, "json_lines_shape_all")) == sorted((p, start(p), len(names[p])) for p in paths)
+    assert sorted(result(spark, "json_lines_shape")) == sorted((p, start(p), len(names[p])) for p in paths)
