@@ -65,8 +65,9 @@ YEAR_ZERO, ARCHIVES = 1995, 50
 
 def _uuid(key, kind: str):
     """An identifier made of a key, with the digit of its kind."""
-    digest = F.md5(F.concat(F.lit(kind), key.cast("string")))
-    return F.regexp_replace(digest, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", f"$1-$2-4$3-{kind}$4-$5")
+    h = F.md5(F.concat(F.lit(kind), key.cast("string")))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit(f"-{kind}"), part(18, 3), F.lit("-"), part(21, 12))
 
 
 def _uuid_sql(key: str, kind: str) -> str:
