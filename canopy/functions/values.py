@@ -125,6 +125,13 @@ def signed_half(segment: Column, upper: bool) -> Column:
     return F.when(high >= 2**31, high - 2**32).otherwise(high) * F.lit(2**32) + low
 
 
+def identifier_text(upper: Column, lower: Column) -> Column:
+    """The identifier of two signed 64-bit halves."""
+    digits = F.lower(F.concat(F.lpad(F.hex(upper), 16, "0"), F.lpad(F.hex(lower), 16, "0")))
+    part = lambda a, n: F.substring(digits, a, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+
+
 def wrap32(number: Column) -> Column:
     """The number as 32-bit arithmetic would leave it."""
     return F.pmod(number.cast("bigint") + F.lit(2**31), F.lit(2**32)) - F.lit(2**31)

@@ -7,7 +7,7 @@ and ``configuration``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.functions import paths, values
@@ -25,6 +25,40 @@ def orphans(histories: DataFrame, live: DataFrame) -> DataFrame:
     return known.join(live, "identifier", "left_anti")
 
 
+def history_facts(nodes: DataFrame, properties: DataFrame, storage: str) -> DataFrame:
+    """Histories worked out from content: ``history``, ``path``, ``newest``, ``bytes``, ``nodes``, ``external_references`` and ``configuration``.
+
+    A history is a node of type ``nt:versionHistory`` below ``storage``; a node belongs
+    to the nearest one at or above it.  ``newest`` is the latest ``jcr:created`` of
+    its versions, ``bytes`` what inline binaries hold, and ``configuration`` whether
+    a frozen node was one.  Nodes meet their history through their ancestors, by
+    equality; a history with a third of all nodes is folded before the shuffle.
+    """
+    kind = lambda name: F.col("primary_type") == name
+    roots = nodes.where(paths.below(F.col("path"), storage) & kind("nt:versionHistory")).select(F.col("path").alias("history_path"), F.col("name").alias("history"))
+    held = nodes.where(paths.below(F.col("path"), storage)).select("path", "primary_type", F.explode(paths.self_and_ancestors(F.col("path"))).alias("history_path"))
+    owned = held.join(roots, "history_path").groupBy("path").agg(F.max(F.struct(F.length("history_path"), "history_path", "history")).alias("h"), F.max("primary_type").alias("primary_type"))
+    owned = owned.select("path", "primary_type", "h.history_path", "h.history")
+    first = F.col("position") == 0
+    created = F.when((F.col("name") == "jcr:created") & first, values.epoch_seconds(F.col("value")))
+    frozen = (F.col("name") == "jcr:frozenPrimaryType") & first & (F.col("value") == "nt:configuration")
+    facts = properties.where(paths.below(F.col("path"), storage)).groupBy("path").agg(
+        F.max(created).alias("created"), F.max(frozen).alias("configuration"), F.sum("binary_length").alias("bytes"), F.count("binary_reference").alias("external")
+    )
+    per_node = owned.join(facts, "path", "left")
+    return per_node.groupBy("history_path", "history").agg(
+        F.max(F.when(kind("nt:version"), F.col("created"))).alias("newest"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("nodes"),
+        F.coalesce(F.sum("external"), F.lit(0)).cast("bigint").alias("external_references"), F.coalesce(F.max("configuration"), F.lit(False)).alias("configuration"),
+    ).withColumnRenamed("history_path", "path")
+
+
+def record_bytes(data_bytes: Column, head_nodes: Column, nodes: Column) -> Column:
+    """What so many nodes take of the head's data, in whole numbers; 0 without a head."""
+    share = lambda c: F.floor(c * nodes.cast("decimal(19,0)") / head_nodes)
+    whole = F.floor(data_bytes / head_nodes).cast("decimal(19,0)") * nodes.cast("decimal(19,0)")
+    return F.when(head_nodes > 0, (whole + share((data_bytes % head_nodes).cast("decimal(19,0)"))).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+
 def report(histories: DataFrame, live: DataFrame) -> DataFrame:
     """One row: histories, malformed names, orphans, their nodes and bytes, and those of configurations."""
     marked = histories.withColumn("identifier", values.identifier(F.col("history"))).join(live.withColumn("__live", F.lit(True)), "identifier", "left")

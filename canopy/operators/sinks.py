@@ -168,6 +168,18 @@ def refresh_parquet(spark: SparkSession, target: str, provenance: Provenance, be
     return Refreshed("Refreshed", n, dirty_paths(exported[0], ranges).count())
 
 
+#: The columns of the interned form's view: those of a table that are taken as they are, and those that are looked up (table, own key, its column).
+EXPANDED = {
+    "path": ("node_paths", "node_id", "path"), "name": ("strings", "name_id", "value"), "property_type": ("property_types", "type_id", "name"), "multiple": None, "position": None,
+    "value": ("strings", "value_id", "value"), "long_value": None, "double_value": None, "boolean_value": None, "binary_length": None, "binary_reference": ("strings", "binary_reference_id", "value"),
+}
+OPTIONAL = {"value", "binary_reference"}
+EXPANDED_VIEW = "CREATE VIEW properties_expanded AS SELECT {} FROM properties p{}".format(
+    ", ".join(f"of_{c}.{x[2]} AS {c}" if x else f"p.{c}" for c, x in EXPANDED.items()),
+    "".join(f"{' LEFT' if c in OPTIONAL else ''} JOIN {x[0]} of_{c} ON of_{c}.id = p.{x[1]}" for c, x in EXPANDED.items() if x),
+)
+
+
 def write_sqlite(nodes: DataFrame, properties: DataFrame, target: str, root_path: str = "/", indexes: bool = True, source: str | None = None) -> None:
     """One SQLite file of the interned form with its views.
 
@@ -186,10 +198,9 @@ def write_sqlite(nodes: DataFrame, properties: DataFrame, target: str, root_path
               long_value INTEGER, double_value REAL, boolean_value INTEGER, binary_length INTEGER, binary_reference_id INTEGER, PRIMARY KEY (node_id, name_id, position)) WITHOUT ROWID;
             CREATE TABLE export (root_path TEXT NOT NULL);
             CREATE VIEW node_paths AS WITH RECURSIVE w(id, path) AS (SELECT id, (SELECT root_path FROM export) FROM nodes WHERE parent_id IS NULL UNION ALL
-              SELECT n.id, rtrim(w.path, '/') || '/' || s.value FROM nodes n JOIN w ON n.parent_id = w.id JOIN strings s ON s.id = n.name_id) SELECT id, path FROM w;
-            CREATE VIEW properties_expanded AS SELECT np.path, n.value AS name, t.name AS property_type, p.multiple, p.position, v.value AS value, p.long_value, p.double_value, p.boolean_value,
-              p.binary_length, b.value AS binary_reference FROM properties p JOIN node_paths np ON np.id = p.node_id JOIN strings n ON n.id = p.name_id JOIN property_types t ON t.id = p.type_id
-              LEFT JOIN strings v ON v.id = p.value_id LEFT JOIN strings b ON b.id = p.binary_reference_id;""")
+              SELECT n.id, rtrim(w.path, '/') || '/' || s.value FROM nodes n JOIN w ON n.parent_id = w.id JOIN strings s ON s.id = n.name_id)
+              SELECT w.id, w.path, n.depth, t.value AS primary_type FROM w JOIN nodes n ON n.id = w.id LEFT JOIN strings t ON t.id = n.primary_type_id;""")
+        db.execute(EXPANDED_VIEW)
         db.executemany("INSERT INTO property_types VALUES (?, ?)", PROPERTY_TYPES.items())
         db.execute("INSERT INTO export VALUES (?)", (root_path,))
         tags = {v: k for k, v in PROPERTY_TYPES.items()}
@@ -221,6 +232,7 @@ def write_sqlite(nodes: DataFrame, properties: DataFrame, target: str, root_path
             db.execute("CREATE INDEX nodes_by_parent ON nodes(parent_id)")
             db.execute("CREATE INDEX properties_by_name ON properties(name_id)")
         db.execute("ANALYZE")
+    os.chmod(beside, 0o600)  # content is for its owner only
     os.replace(beside, place)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.operators.common import latest_rows
+from canopy.operators.tree import derive_nodes, explode_values
 from canopy.schema import VALUE_COLUMNS
 from canopy.sources.tables import table
 
@@ -147,6 +148,21 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where("l_quantity <= 2").select(F.when(F.col("l_linenumber") == 1, F.upper(u)).otherwise(u).alias("value"))
 
 
+def version_storage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and properties of the histories: each line of an order is a version with a date, a binary and a frozen node."""
+    h = histories(spark, d).select("key", "path", "history", "configuration")
+    versions = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_shipdate", "l_quantity").join(h, "key")
+    at = F.concat("path", F.lit("/v"), "l_linenumber")
+    node = lambda df, path, kind: df.select(path.alias("path"), F.lit(kind).alias("primary_type"))
+    frozen = F.concat(at, F.lit("/frozen"))
+    entities = node(h, F.col("path"), "nt:versionHistory").unionByName(node(versions, at, "nt:version").distinct()).unionByName(node(versions, frozen, "nt:frozenNode").distinct())
+    created = explode_values(versions.select(at.alias("path"), F.date_format("l_shipdate", "yyyy-MM-dd'T00:00:00.000Z'").alias("v")), "jcr:created", "Date", "v", False)
+    kind = explode_values(versions.select(frozen.alias("path"), F.when(F.col("configuration"), "nt:configuration").otherwise("nt:page").alias("v")), "jcr:frozenPrimaryType", "Name", "v", False)
+    data = explode_values(versions.select(frozen.alias("path"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("v")), "data", "Binary", "v", False)
+    names = explode_values(versions.select(frozen.alias("path"), F.array(F.lit("x"), F.lit("y")).alias("v")), "tags", "String", "v", True)
+    return derive_nodes(entities), created.unionByName(kind).unionByName(data).unionByName(names)
+
+
 HISTORIES_SQL = f"""with lines as (select l_orderkey as o_orderkey, count(*) as lines from lineitem group by 1),
  hi as (select case when o_orderkey % 97 = 0 then 'broken-' || o_orderkey else {_uuid_sql("o_orderkey", "8")} end as history,
     '{STORAGE}/' || md5(o_orderkey::varchar)[1:2] || '/' || md5(o_orderkey::varchar)[3:3] || '/' || history as path,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import paths, values
-from canopy.operators import checkpoints, commits, diff, digest, gc, interned, orphans, search, sinks, tree, versions
+from canopy.operators import checkpoints, commits, diff, digest, gc, interned, maintenance, orphans, search, sinks, tree, versions
 from canopy.operators.common import lookup, with_places
 from canopy.plans import models as m
 from canopy.schema import NODES, VALUE_COLUMNS, violations
@@ -702,6 +702,30 @@ def convergence_gate(s, d):
     return gc.convergence(m.segments(s, d), m.head(s, d))
 
 
+@query(G(" select segment, generation + 1 as tail_generation, full_generation as tail_full, generation + 1 as full_run_generation, full_generation + 1 as full_run_full from s"))
+def target_generations(s, d):
+    """The generation that a tail and a full compaction would write after each segment's."""
+    of = lambda full: maintenance.target_generation(F.col("generation"), F.col("full_generation"), full)
+    tail, full = of(False), of(True)
+    return m.segments(s, d).select("segment", tail["generation"].alias("tail_generation"), tail["full_generation"].alias("tail_full"), full["generation"].alias("full_run_generation"), full["full_generation"].alias("full_run_full"))
+
+
+@query(f"""select distinct file_name, case when best is null then 'undecided' when letter || file_name = best then 'active' when letter || file_name < best then 'stale' else 'unusable' end as state
+  from (select *, max(case when index_valid then letter || file_name end) over (partition by archive_number) as best from (select file_name, archive_number, letter, bool_or(index_valid) as index_valid from {_LETTERS} group by all))""")
+def archive_states(s, d):
+    files = _files(s, d).groupBy("file_name").agg(F.max("index_valid").alias("index_valid"))
+    return maintenance.archive_states(files.withColumn("size", F.lit(1)))
+
+
+@query("""select distinct 'journal.log.cleaning.' || lpad((p_partkey % 1200)::varchar, 3, '0') as file_name, 'journal' as kind from part where p_partkey % 1200 < 1000
+  union select distinct printf('data%05da.tar.recovering', p_partkey % 40), 'archive' from part""")
+def temporary_files(s, d):
+    k = F.col("p_partkey")
+    counter = F.lpad((k % 1200).cast("string"), F.greatest(F.lit(3), F.length((k % 1200).cast("string"))), F.lit("0"))
+    names = F.array(F.concat(F.lit("journal.log.cleaning."), counter), F.format_string("data%05da.tar.recovering", k % 40), F.format_string("data%05da.tar", k % 40))
+    return maintenance.temporaries(table(s, d, "part").select(F.explode(names).alias("file_name")).distinct())
+
+
 @query(G(" select s.generation, count(*) as segments from s, h where s.kind = 'data' and s.generation > h.generation group by 1"))
 def interrupted_residue(s, d):
     newest = m.head(s, d).agg(F.max("generation")).scalar()
@@ -781,6 +805,18 @@ def live_identifiers(s, d):
     return orphans.live_identifiers(m.properties(s, d), m.STORAGE)
 
 
+@query(H(""" select hi.path, hi.history, max(epoch(l_shipdate::date))::bigint as newest, coalesce(sum(l_quantity::int), 0)::bigint as bytes, 1 + 2 * count(distinct l_linenumber) as nodes, 0::bigint as external_references,
+    hi.configuration and count(l_orderkey) > 0 as configuration from hi left join lineitem on l_orderkey = hi.key group by hi.path, hi.history, hi.configuration"""))
+def history_facts(s, d):
+    """What the content of version storage says of each history."""
+    return orphans.history_facts(*m.version_storage(s, d), m.STORAGE)
+
+
+@query("select o_orderkey, case when a > 0 then (a // a1) * 0 + (b // a) * n + ((b % a) * n) // a else 0 end as estimate from (select o_orderkey, o_orderkey % 9 as a, greatest(o_orderkey % 9, 1) as a1, floor(o_totalprice)::bigint as b, o_custkey as n from orders)")
+def record_bytes_estimate(s, d):
+    return table(s, d, "orders").select("o_orderkey", orphans.record_bytes(F.floor("o_totalprice").cast("bigint"), F.col("o_orderkey") % 9, F.col("o_custkey")).alias("estimate"))
+
+
 @query(H(" select history from orphan"))
 def orphan_histories(s, d):
     return orphans.orphans(m.histories(s, d), m.live(s, d)).select("history")

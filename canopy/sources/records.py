@@ -263,6 +263,13 @@ class Decoded:
             )
         )
 
+    def stable_identifiers(self) -> DataFrame:
+        """``node`` and ``stable``: the record that a node had before any compaction; null if that can't be read."""
+        slots = self.records.where(F.col("type") == NODE).select(F.col("record").alias("node"), F.get("refs", F.lit(0)).alias("slot"))
+        blocks = self.records.where((F.col("type") == BLOCK) & (F.size("ints") == 3)).select(F.col("record").alias("slot"), F.col("ints").alias("i"))
+        first = F.concat(v.identifier_text(F.col("i")[0], F.col("i")[1]), F.lit(":"), F.col("i")[2])
+        return slots.join(blocks, "slot", "left").select("node", F.when(F.col("slot") == F.col("node"), F.col("node")).otherwise(first).alias("stable"))
+
     @cached_property
     def maps(self) -> tuple[DataFrame, DataFrame]:
         return open_maps(self.nodes.where("arity = 2").select(F.col("node").alias("owner"), F.col("child").alias("ref")), self.records)

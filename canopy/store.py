@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.functions import paths, values
-from canopy.operators import checkpoints, diff, digest, gc, search, sinks, tree, versions
+from canopy.operators import checkpoints, diff, digest, gc, orphans, search, sinks, tree, versions
 from canopy.operators.common import cut
 from canopy.schema import CONTENT_COLUMNS, FormatError, QueryError, violations
 from canopy.sources import archives, journal, records
@@ -153,11 +153,18 @@ class ContentStore:
 
     # -- questions
 
+    def stable_identifiers(self) -> DataFrame:
+        """``path`` and ``stable`` of the head's nodes: an identifier that outlives compactions."""
+        return self.placed().join(self._decoded.stable_identifiers(), "node", "left").select("path", "stable")
+
+    def history_facts(self, storage: str = "/jcr:system/jcr:versionStorage") -> DataFrame:
+        return orphans.history_facts(self.nodes(), self.properties(), storage)
+
     def summary(self) -> DataFrame:
-        """One row: archives and their bytes, data and bulk segments, revisions, the head."""
+        """One row: archives and their bytes, data and bulk segments, revisions, the head and its checkpoints."""
         s = self._segments.agg(F.count_if(F.col("kind") == "data").alias("data_segments"), F.count_if(F.col("kind") == "bulk").alias("bulk_segments"))
         a = self.archives().agg(F.count(F.lit(1)), F.sum("bytes")).first()
-        return s.select(F.lit(a[0]).alias("archives"), F.lit(a[1]).alias("bytes"), "data_segments", "bulk_segments", F.lit(self.journal().count()).alias("revisions"), F.lit(self.head()).alias("head"))
+        return s.select(F.lit(a[0]).alias("archives"), F.lit(a[1]).alias("bytes"), "data_segments", "bulk_segments", F.lit(self.journal().count()).alias("revisions"), F.lit(self.head()).alias("head"), F.lit(self.checkpoints().count()).alias("checkpoints"))
 
     def node(self, path: str) -> DataFrame:
         return tree.properties_of(self.properties(), path)

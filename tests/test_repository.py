@@ -212,6 +212,9 @@ def test_sqlite_and_lines(spark, tmp_path):
     sinks.write_sqlite(n, p, str(tmp_path / "x.sqlite"))
     db = sqlite3.connect(tmp_path / "x.sqlite")
     assert db.execute("SELECT path FROM node_paths ORDER BY id").fetchall() == [("/",), ("/content",), ("/content/jcr:content",)]
+    view = {r[1:] for r in db.execute("SELECT id, path, depth, primary_type FROM node_paths")}
+    assert view == {(r.path, r.depth, r.primary_type) for r in n.collect()}
+    assert (tmp_path / "x.sqlite").stat().st_mode & 0o777 == 0o600
     rows = db.execute("SELECT name, position, value, long_value, binary_reference FROM properties_expanded WHERE path = '/content' ORDER BY name, position").fetchall()
     assert ("tags", 1, "b", None, None) in rows and ("empty_tags", -1, None, None, None) in rows and ("external", 0, None, None, "blob-1") in rows
     sinks.write_json_lines(n, p, str(tmp_path / "lines"))
@@ -318,3 +321,52 @@ def test_orphans(spark):
 
 def test_provenance_and_fixture_names(spark):
     assert nodes(spark, {"/a/b": "t"}).first().parent_path == "/a"
+
+
+def test_options():
+    from canopy.operators.maintenance import Options
+    from canopy.schema import QueryError
+
+    good = [Options(), Options("full", purge_histories=True, purge_minimum_age=5), Options("tail", frozenset({"journal"}), journal_revisions=3), Options(tasks=frozenset({"recovery-backups"}), backups_count=1)]
+    bad = [
+        Options("other"), Options(tasks=frozenset({"other"})), Options("tail", purge_histories=True), Options("full", purge_minimum_age=5), Options(tasks=frozenset({"recovery-backups"})),
+        Options(tasks=frozenset({"recovery-backups", "repair-archives"}), backups_age=1), Options("full", journal_revisions=3),
+    ]
+    assert [o.validated() for o in good] == good
+    for o in bad:
+        with pytest.raises(QueryError):
+            o.validated()
+
+
+def test_files_and_generations(spark):
+    from canopy.operators import maintenance
+
+    files = [("data00000a.tar", 5, True), ("data00000b.tar", 5, True), ("data00000c.tar", 0, True), ("data00000d.tar", 5, None), ("data00001.tar", None, True), ("x.tar", 5, True), ("journal.log.recovered", 1, None), ("data00000a.tar.cleaning.007", 1, None), ("journal.log.cleaning.1", 1, None), ("manifest.cleaning.000", 1, None)]
+    df = spark.createDataFrame(files, "file_name string, size int, index_valid boolean")
+    assert {r.file_name[4:10]: r.state for r in maintenance.archive_states(df).collect()} == {"00000a": "stale", "00000b": "active", "00000c": "unusable", "00000d": "unusable", "00001.": "undecided"}
+    assert {tuple(r) for r in maintenance.temporaries(df).collect()} == {("journal.log.recovered", "journal"), ("data00000a.tar.cleaning.007", "archive"), ("manifest.cleaning.000", "manifest")}
+    row = spark.createDataFrame([(2**31 - 1, 4)], "g int, f int").select(maintenance.target_generation(F.col("g"), F.col("f"), True).alias("a"), maintenance.target_generation(F.col("g"), F.col("f"), False).alias("b")).first()
+    assert tuple(row.a) == (-(2**31), 5, True) and tuple(row.b) == (-(2**31), 4, True)
+
+
+def test_unique_letters(spark):
+    from canopy.schema import FormatError
+
+    df = spark.createDataFrame([("data00000.tar",), ("data00000a.tar",), ("data00001b.tar",)], "file_name string")
+    assert {r.file_name for r in gc.newest_letters(df).collect()} == {"data00000a.tar", "data00001b.tar"}
+    with pytest.raises(FormatError):
+        gc.newest_letters(df, unique=True)
+
+
+def test_facts_of_nested_histories(spark):
+    storage = "/jcr:system/jcr:versionStorage"
+    kinds = [(storage, "rep:versionStorage"), (f"{storage}/a", "nt:versionHistory"), (f"{storage}/a/1", "nt:version"), (f"{storage}/a/1/b", "nt:versionHistory"), (f"{storage}/a/1/b/2", "nt:version"), ("/a", "nt:versionHistory"), (f"{storage}/loose", None)]
+    nodes = tree.derive_nodes(spark.createDataFrame(kinds, "path string, primary_type string"))
+    value = lambda path, name, kind, v=None, n=None, r=None: (path, name, kind, False, 0, v, None, None, None, n, r)
+    properties = spark.createDataFrame(
+        [value(f"{storage}/a/1", "jcr:created", "Date", "1970-01-01T00:00:09.000Z"), value(f"{storage}/a/1/b/2", "jcr:created", "Date", "bad"), value(f"{storage}/a/1/b/2", "x", "Binary", None, 7), value(f"{storage}/a/1/b/2", "y", "Binary", None, None, "blob"),
+         value(f"{storage}/a/1/b", "jcr:frozenPrimaryType", "Name", "nt:configuration"), value("/a", "x", "Binary", None, 9)],
+        "path string, name string, property_type string, multiple boolean, position int, value string, long_value bigint, double_value double, boolean_value boolean, binary_length bigint, binary_reference string",
+    )
+    got = {r.history: (r.newest, r.bytes, r.nodes, r.external_references, r.configuration) for r in orphans.history_facts(nodes, properties, storage).collect()}
+    assert got == {"a": (9, 0, 2, 0, False), "b": (None, 7, 2, 1, True)}

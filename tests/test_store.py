@@ -205,3 +205,24 @@ def test_binaries_of_equal_length(spark, tmp_path):
     crc = lambda raw: f"{len(raw)}/{len(raw)}@{zlib.crc32(raw):08x}"
     assert shown == {"small": crc(small[1]), "large": crc(large[1]), "same": crc(same), "gone": "20000/0@00000000"}
     assert "binary_crc32" not in store.properties().columns
+
+
+def test_stable_identifiers(spark, store, tmp_path):
+    """A node that was never rewritten is its own; a rewritten one points at a block with where it was."""
+    import struct
+
+    own = {r.path: r.stable for r in store.stable_identifiers().collect()}
+    assert own["/"] and {r.path: r.node for r in store.placed().collect()} == own
+    s = Segment(data_id(5))
+    block = s.add(5, data_id(77).bytes + struct.pack(">i", 12))
+    root = s.node()
+    at = s.ref(block)
+    kind, body = s.records[root[1]]
+    s.records[root[1]] = (kind, at + body[6:])
+    top = s.node({"root": root, "checkpoints": s.node()})
+    archive(tmp_path / "data00000a.tar", [s])
+    (tmp_path / "manifest").write_text("store.version=2\n")
+    (tmp_path / "journal.log").write_text(f"{top[0]}:{top[1]} root 1\n")
+    moved = ContentStore.open(spark, str(tmp_path))
+    assert [r.stable for r in moved.stable_identifiers().collect()] == [f"{data_id(77)}:12"]
+    assert moved.summary().first().checkpoints == 0 and moved.history_facts().count() == 0
