@@ -235,13 +235,16 @@ def _units(text: str) -> str:
     return f"flatten(list_transform(string_split({text}, ''), lambda c: case when unicode(c) >= 65536 then [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] else [unicode(c)] end))"
 
 
-@query(T(f"select distinct name, case when name = '' then 0 else list_reduce(list_prepend(0::bigint, list_transform({_units('name')}, lambda u: u::bigint)), lambda h, u: (h * 31 + u) % 4294967296) end as unsigned_hash from p"))
+_HASH = f"(case when name = '' then 0 else list_reduce(list_prepend(0::bigint, list_transform({_units('name')}, lambda u: u::bigint)), lambda h, u: (h * 31 + u) % 4294967296) end)"
+
+
+@query(T(f"select distinct name, {_HASH} as unsigned_hash from p"))
 def java_string_hash(s, d):
     names = m.properties(s, d).select("name").distinct()
     return names.select("name", F.pmod(values.string_hash(F.col("name")), F.lit(2**32)).alias("unsigned_hash"))
 
 
-@query()
+@query(T(f"select distinct name, ((xor({_HASH}, {values.MAP_HASH_FACTOR}::bigint)::hugeint * {values.MAP_HASH_FACTOR} + {values.MAP_HASH_ADDEND}) % 4294967296)::bigint as map_hash from n"))
 def child_map_hash(s, d):
     return m.nodes(s, d).select("name").distinct().select("name", values.map_hash(F.col("name")).alias("map_hash"))
 
@@ -562,15 +565,19 @@ def _lenient(k: str, t: str) -> str:
     return f"coalesce(case when regexp_full_match({k}, '[+-]?[0-9]+') then try_cast({k} as {t}) end, -1)"
 
 
-@query(f"""with f as (select line_id, {_JAVA} as f from gc_journal_lines where raw_line is not null),
-  g as (select line_id, f[1] as a, f[2] as b, f[3] as c, f[4] as g, case when len(f) = 7 then f[5] else f[4] end as h, case when len(f) = 7 then f[6] else f[5] end as n, case when len(f) = 7 then f[7] else f[6] end as r from f)
-  select line_id, {_lenient('a', 'bigint')} as repository_size, {_lenient('b', 'bigint')} as reclaimed_size, {_lenient('c', 'bigint')} as timestamp_milliseconds, {_lenient('g', 'int')} as generation, {_lenient('h', 'int')} as full_generation,
-    {_lenient('n', 'bigint')} as compacted_nodes, coalesce(r, '00000000-0000-0000-0000-000000000000:0') as root_record_identifier_text from g""")
+def _gc_sql(source: str, key: str) -> str:
+    return f"""with f as (select {key}, {_JAVA} as f from {source} where raw_line is not null),
+  g as (select {key}, f[1] as a, f[2] as b, f[3] as c, f[4] as g, case when len(f) = 7 then f[5] else f[4] end as h, case when len(f) = 7 then f[6] else f[5] end as n, case when len(f) = 7 then f[7] else f[6] end as r from f)
+  select {key}, {_lenient('a', 'bigint')} as repository_size, {_lenient('b', 'bigint')} as reclaimed_size, {_lenient('c', 'bigint')} as timestamp_milliseconds, {_lenient('g', 'int')} as generation, {_lenient('h', 'int')} as full_generation,
+    {_lenient('n', 'bigint')} as compacted_nodes, coalesce(r, '00000000-0000-0000-0000-000000000000:0') as root_record_identifier_text from g"""
+
+
+@query(_gc_sql("gc_journal_lines", "line_id"))
 def gc_log_parse(s, d):
     return table(s, d, "gc_journal_lines").where("raw_line is not null").select("line_id", *parse_gc_line())
 
 
-@query()
+@query(_gc_sql("(select * from (select *, row_number() over (partition by store_name order by file_line desc, raw_line desc) as k from gc_journal_lines where raw_line is not null) where k = 1)", "store_name"))
 def gc_log_last(s, d):
     return last_gc_entry(table(s, d, "gc_journal_lines"), "store_name", "file_line")
 

@@ -134,16 +134,31 @@ _P4 = r"""
   with v as (select p.*, w.type_name, s.value as string_value from (select *, row_number() over (partition by node_id, name_id, position order by loaded_at desc) as k
       from interned_properties where name_id in (select name_id from wide_columns)) p
     join wide_columns w using (name_id) left join interned_strings s on s.id = p.value_id where k = 1),
-  t as (select *, trim(coalesce(string_value, long_value::varchar, case when isnan(double_value) then 'NaN' when isinf(double_value) then replace(double_value::varchar, 'inf', 'Infinity') else double_value::varchar end,
-      case boolean_value when 1 then 'true' when 0 then 'false' end), ' ') as x from v),
-  r as (select node_id, name_id, coalesce(position >= 0 and binary_length is null and binary_reference_id is null and x is not null and case type_name
+  t as (select *, trim(y, ' ') as x from (select *, coalesce(string_value, long_value::varchar, case when isnan(double_value) then 'NaN' when isinf(double_value) then replace(double_value::varchar, 'inf', 'Infinity') else double_value::varchar end,
+      case boolean_value when 1 then 'true' when 0 then 'false' end) as y from v)),
+  r as (select node_id, name_id, x, y, coalesce(position >= 0 and binary_length is null and binary_reference_id is null and x is not null and case type_name
       when 'Long' then regexp_full_match(x, '[+-]?[0-9]+') and try_cast(x as bigint) is not null
       when 'Double' then regexp_full_match(x, '[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?|NaN|-?Infinity')
       when 'Decimal' then regexp_full_match(x, '[+-]?[0-9]+(\.[0-9]+)?')
       when 'Boolean' then lower(x) in ('true', 'false')
       when 'Date' then regexp_full_match(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\.[0-9]{3}(Z|[+-][0-9]{2}:[0-9]{2})') and try_cast(x[1:10] as date) is not null
-      else true end, false) as reads from t)
-  select node_id, name_id from r group by 1, 2 having count(*) <> 1 or not bool_and(reads)"""
+      else true end, false) as reads from t)"""
+
+#: The typed columns wanted, with the ids of their names.
+_WIDE = {
+    "created_on": (4, "Date"), "last_modified": (5, "Date"), "created_by": (6, "String"), "title": (7, "String"), "width_px": (9, "Long"), "height_px": (10, "Long"),
+    "rating": (11, "Double"), "is_published": (12, "Boolean"), "price": (13, "Decimal"), "sort_order": (14, "Long"), "valid_until": (15, "Date"), "quality": (16, "Double"),
+}
+_READ = {
+    "String": "y", "Long": "try_cast(x as bigint)", "Double": "try_cast(ltrim(x, '+') as double)", "Decimal": "try_cast(x as decimal(38,10))", "Boolean": "lower(x) = 'true'",
+    "Date": "epoch_ms(try_cast(x[1:10] as date)::timestamp) + x[12:13]::bigint * 3600000 + x[15:16]::bigint * 60000 + x[18:19]::bigint * 1000 + x[21:23]::bigint"
+    " - case when x like '%Z' then 0 else (case when x[24:24] = '-' then -1 else 1 end) * (x[25:26]::bigint * 60 + x[28:29]::bigint) * 60000 end",
+}
+
+
+def _cell(column: str, name_id: int, kind: str) -> str:
+    return f"max(case when name_id = {name_id} then {_READ[kind]} end) as {column}"
+
 
 SQL = {
     "p1_found": _SPLIT + " select line_id, reason from judged where reason is not null",
@@ -154,7 +169,12 @@ SQL = {
     + _changes("node", "n", "path", "a.path = b.path", "''", "-1")
     + " union all "
     + _changes("property", "p", "path, name, position", "a.path = b.path and a.name = b.name and a.position is not distinct from b.position", "coalesce(a.name, b.name)", "coalesce(a.position, b.position, -1)"),
-    "p4_found": _P4,
+    "p4_found": _P4 + " select node_id, name_id from r group by 1, 2 having count(*) <> 1 or not bool_and(reads)",
+    "p4_wide": _P4
+    + f""", one as (select node_id, name_id, max(x) as x, max(y) as y from r group by 1, 2 having count(*) = 1 and bool_and(reads)),
+      ids as (select id as node_id from interned_nodes union select node_id from interned_properties where name_id in (select name_id from wide_columns)),
+      filled as (select node_id, {", ".join(_cell(c, i, t) for c, (i, t) in _WIDE.items())} from one group by 1)
+      select ids.node_id, {", ".join(_WIDE)} from ids left join filled using (node_id) where ids.node_id is not null""",
     "p5_found": """
       select 'parent_id' as field, parent_id as key_id from interned_nodes where parent_id is not null group by parent_id having count(*) >= 0.04 * (select count(*) from interned_nodes)
       union all select 'name_id', name_id from interned_properties where name_id is not null group by name_id having count(*) >= 0.04 * (select count(*) from interned_properties)""",
