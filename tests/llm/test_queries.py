@@ -16,6 +16,8 @@ def test_query(spark, name):
     df = queries.QUERIES[name](spark, str(SMALL))
     rows = df.collect()
     assert name in entry.queries()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "BatchEvalPython" not in plan
     if name in queries.SQL:
         duckdb = pytest.importorskip("duckdb")
         c = duckdb.connect()
