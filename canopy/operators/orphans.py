@@ -36,7 +36,7 @@ def history_facts(nodes: DataFrame, properties: DataFrame, storage: str) -> Data
     """
     kind = lambda name: F.col("primary_type") == name
     roots = nodes.where(paths.below(F.col("path"), storage) & kind("nt:versionHistory")).select(F.col("path").alias("history_path"), F.col("name").alias("history"))
-    held = nodes.where(paths.below(F.col("path"), storage)).select("path", "primary_type", F.explode(paths.self_and_ancestors(F.col("path"))).alias("history_path"))
+    held = nodes.where(paths.below(F.col("path"), storage)).select("path", "primary_type", F.explode(F.filter(paths.self_and_ancestors(F.col("path")), lambda p: paths.below(p, storage))).alias("history_path"))
     owned = held.join(roots, "history_path").groupBy("path").agg(F.max(F.struct(F.length("history_path"), "history_path", "history")).alias("h"), F.max("primary_type").alias("primary_type"))
     owned = owned.select("path", "primary_type", "h.history_path", "h.history")
     first = F.col("position") == 0

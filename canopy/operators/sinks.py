@@ -10,6 +10,7 @@ import json
 import os
 import shutil
 import sqlite3
+from collections.abc import Callable
 from contextlib import closing
 from dataclasses import asdict, dataclass
 from pathlib import Path
@@ -139,11 +140,12 @@ class Refreshed:
     reason: str = ""
 
 
-def refresh_parquet(spark: SparkSession, target: str, provenance: Provenance, before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], resolves=lambda _: True) -> Refreshed:
+def refresh_parquet(spark: SparkSession, target: str, provenance: Provenance, before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], *, resolves: Callable[[str], bool]) -> Refreshed:
     """Brings an export to the revision of ``provenance`` by replacing only what changed since its own.
 
     ``before`` and ``after`` are the nodes and properties of the whole tree at both
-    revisions.  The result equals a full export.
+    revisions, and ``resolves`` says whether a revision is known: an export of one
+    that isn't is left alone.  The result equals a full export.
     """
     from canopy.operators.diff import dirty_paths, dirty_ranges, node_changes, property_changes, refresh
     from canopy.operators.tree import as_export, subtree

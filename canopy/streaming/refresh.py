@@ -43,7 +43,7 @@ def follow(
     """Refreshes an export with every batch of revisions, to the newest of the batch.
 
     ``tree_at`` gives the nodes and properties at a revision, ``current`` the
-    revision that the export is at.  A batch that is run again finds the export
+    revision that the export is at; an export that bears another one is left alone.  A batch that is run again finds the export
     current and does nothing.
     """
 
@@ -51,6 +51,7 @@ def follow(
         newest = batch.agg(F.max(F.struct("timestamp_milliseconds", "revision")).alias("m")).first().m
         if newest is not None:
             spark = batch.sparkSession
-            report(refresh_parquet(spark, target, provenance(newest.revision), tree_at(spark, current()), tree_at(spark, newest.revision)))
+            held = current()
+            report(refresh_parquet(spark, target, provenance(newest.revision), tree_at(spark, held), tree_at(spark, newest.revision), resolves=lambda r: r == held))
 
     return revisions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

@@ -187,15 +187,17 @@ def test_parquet_export_and_refresh(spark, tmp_path):
         sinks.write_parquet(*before, target, stamp)
     with pytest.raises(ValueError):
         sinks.write_json_lines(*before, str(tmp_path / "store/out"), str(tmp_path / "store"))
-    again = sinks.refresh_parquet(spark, target, sinks.Provenance("r1", "/content"), before, after)
+    again = sinks.refresh_parquet(spark, target, sinks.Provenance("r1", "/content"), before, after, resolves=lambda _: True)
     assert again.outcome == "Current"
-    done = sinks.refresh_parquet(spark, target, sinks.Provenance("r2", "/content"), before, after)
+    done = sinks.refresh_parquet(spark, target, sinks.Provenance("r2", "/content"), before, after, resolves=lambda _: True)
     assert (done.outcome, done.ranges, done.nodes) == ("Refreshed", 4, 5)
     got, full = sinks.read_parquet(spark, target), (tree.as_export(after[0], "/content"), after[1])
     assert sorted(map(repr, got[0].collect())) == sorted(map(repr, full[0].collect()))
     assert {tuple(r) for r in got[1].collect()} == {tuple(r) for r in full[1].collect()}
-    gone = sinks.refresh_parquet(spark, target, sinks.Provenance("r3", "/content"), after, (after[0].where("path = '/'"), after[1].limit(0)))
+    gone = sinks.refresh_parquet(spark, target, sinks.Provenance("r3", "/content"), after, (after[0].where("path = '/'"), after[1].limit(0)), resolves=lambda _: True)
     assert gone.outcome == "Missing"
+    unknown = sinks.refresh_parquet(spark, target, sinks.Provenance("r3", "/content"), before, after, resolves=lambda _: False)
+    assert unknown.outcome == "NotReusable"
     assert sinks.classify(target, "/other", None, lambda _: True)[0] == "Guarded"
     assert sinks.classify(target, "/content", None, lambda _: False)[0] == "Guarded"
     assert sinks.classify(str(tmp_path / "none"), "/", None, lambda _: True)[0] == "Replaceable"
