@@ -76,13 +76,17 @@ def _uuid_sql(key: str, kind: str) -> str:
     return f"({h}[1:8] || '-' || {h}[9:12] || '-4' || {h}[14:16] || '-{kind}' || {h}[18:20] || '-' || {h}[21:32])"
 
 
-def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Data segments are orders, bulk segments parts."""
+def _data_segments(orders: DataFrame) -> DataFrame:
     year = F.year("o_orderdate") - YEAR_ZERO
-    data = table(spark, d, "orders").select(
+    return orders.select(
         _uuid(F.col("o_orderkey"), "a").alias("segment"), F.lit("data").alias("kind"), F.format_string("data%05da.tar", F.col("o_orderkey") % ARCHIVES).alias("archive"), F.col("o_orderkey").alias("position"),
         F.floor("o_totalprice").cast("bigint").alias("size"), year.alias("generation"), F.floor(year / 2).cast("int").alias("full_generation"), (F.col("o_orderstatus") == "F").alias("is_compacted"),
     )
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Data segments are orders, bulk segments parts."""
+    data = _data_segments(table(spark, d, "orders"))
     bulk = table(spark, d, "part").select(
         _uuid(F.col("p_partkey"), "b").alias("segment"), F.lit("bulk").alias("kind"), F.format_string("data%05da.tar", F.col("p_partkey") % ARCHIVES).alias("archive"), (-1 - F.col("p_partkey")).alias("position"),
         (F.col("p_size") * 1000).cast("bigint").alias("size"), F.lit(0).alias("generation"), F.lit(0).alias("full_generation"), F.lit(False).alias("is_compacted"),
@@ -103,8 +107,9 @@ def chain(spark: SparkSession, d: str) -> DataFrame:
 
 def head(spark: SparkSession, d: str) -> DataFrame:
     """The head segment: the newest order's."""
-    o = table(spark, d, "orders").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m"))
-    return segments(spark, d).join(F.broadcast(o.select(_uuid(F.col("m.o_orderkey"), "a").alias("segment"))), "segment", "left_semi")
+    orders = table(spark, d, "orders")
+    newest = orders.agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m")).select("m.o_orderkey")
+    return _data_segments(orders.join(F.broadcast(newest), "o_orderkey", "left_semi"))
 
 
 HEAD_KEY_SQL = "(select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 1)"
