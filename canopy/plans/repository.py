@@ -887,7 +887,9 @@ def dangling_async(s, d):
 
 @query("select c_custkey, (least(created::hugeint + life, 9223372036854775807))::bigint as expires from (select c_custkey, 9223372036854000000 + c_custkey as created, floor(c_acctbal * 1000)::bigint as life from customer)")
 def checkpoint_expiry(s, d):
-    return table(s, d, "customer").select("c_custkey", checkpoints.expiry(F.lit(9223372036854000000) + F.col("c_custkey"), F.floor(F.col("c_acctbal") * 1000).cast("bigint")).alias("expires"))
+    """Sums that go beyond 64 bits, those of the times of creation as well, and are cut off at the end."""
+    created = F.lit(9223372036854000000).cast("decimal(20,0)") + F.col("c_custkey").cast("decimal(20,0)")
+    return table(s, d, "customer").select("c_custkey", checkpoints.expiry(created, F.floor(F.col("c_acctbal") * 1000).cast("bigint")).alias("expires"))
 
 
 @query("""select target, name, (mtime > 5000 or 5000 - mtime < 1000 or rank() over (partition by target order by mtime desc) <= 3) as kept

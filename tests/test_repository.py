@@ -372,3 +372,14 @@ def test_facts_of_nested_histories(spark):
     )
     got = {r.history: (r.newest, r.bytes, r.nodes, r.external_references, r.configuration) for r in orphans.history_facts(nodes, properties, storage).collect()}
     assert got == {"a": (9, 0, 2, 0, False), "b": (None, 7, 2, 1, True)}
+
+
+def test_expiry_beyond_64_bits(spark, tmp_path):
+    from canopy.plans import repository
+
+    rows = [(1, -0.5), (1, 999.5), (775_807, 0.0), (775_808, 0.0), (860_160, -999.99), (899_999, 9999.99), (899_999, None)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    top = 2**63 - 1
+    want = {(k, top if b is None else min(9223372036854000000 + k + math.floor(b * 1000), top)) for k, b in rows}
+    got = repository.checkpoint_expiry(spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == want and dict(got.dtypes)["expires"] == "bigint"
