@@ -16,8 +16,9 @@ def from_segments(names: Column) -> Column:
 
 
 def normalize(path: Column) -> Column:
-    """Without repeated and trailing slashes, with a leading one."""
-    return from_segments(segments(path))
+    """Without repeated and trailing slashes, with a leading one; paths that are so aren't taken apart."""
+    plain = path.startswith("/") & ~path.contains("//") & ~path.endswith("/")
+    return F.when(plain, path).otherwise(from_segments(segments(path)))
 
 
 def depth(path: Column) -> Column:

@@ -73,12 +73,13 @@ def epoch_seconds(text: Column) -> Column:
 
     Days up to 31 count in every month, beyond its end into the next one.
     """
-    part = lambda k: F.regexp_extract(text, INSTANT, k).try_cast("bigint")
-    day_ok = part(2).between(1, 12) & part(3).between(1, 31)
-    first = F.make_date(part(1).cast("int"), part(2).cast("int"), F.lit(1))
-    days = F.unix_date(F.when(text.rlike(INSTANT) & day_ok, first)).cast("bigint") + part(3) - 1
-    offset = F.coalesce((part(8) * 60 + part(9)) * 60 * F.when(F.regexp_extract(text, INSTANT, 7) == "-", -1).otherwise(1), F.lit(0))
-    return days * 86400 + part(4) * 3600 + part(5) * 60 + part(6) - offset
+    part = lambda at, n=2: F.substring(text, at, n).try_cast("bigint")
+    day_ok = part(6).between(1, 12) & part(9).between(1, 31)
+    first = F.make_date(part(1, 4).cast("int"), part(6).cast("int"), F.lit(1))
+    days = F.unix_date(F.when(day_ok, first)).cast("bigint") + part(9) - 1
+    offset = F.when(text.endswith("Z"), F.lit(0)).otherwise((part(-5) * 60 + part(-2)) * 60 * F.when(F.substring(text, -6, 1) == "-", -1).otherwise(1))
+    # only the fraction has no fixed width: one match says that all parts are in their places
+    return F.when(text.rlike(INSTANT), days * 86400 + part(12) * 3600 + part(15) * 60 + part(18) - offset)
 
 
 def identifier(text: Column) -> Column:

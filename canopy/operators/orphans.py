@@ -25,31 +25,43 @@ def orphans(histories: DataFrame, live: DataFrame) -> DataFrame:
     return known.join(live, "identifier", "left_anti")
 
 
-def history_facts(nodes: DataFrame, properties: DataFrame, storage: str) -> DataFrame:
+def history_facts(nodes: DataFrame, properties: DataFrame, storage: str, by: str | None = None) -> DataFrame:
     """Histories worked out from content: ``history``, ``path``, ``newest``, ``bytes``, ``nodes``, ``external_references`` and ``configuration``.
 
     A history is a node of type ``nt:versionHistory`` below ``storage``; a node belongs
     to the nearest one at or above it.  ``newest`` is the latest ``jcr:created`` of
     its versions, ``bytes`` what inline binaries hold, and ``configuration`` whether
-    a frozen node was one.  Nodes meet their history through their ancestors, by
-    equality; a history with a third of all nodes is folded before the shuffle.
+    a frozen node was one.
+
+    Rows are folded by path, and from there upwards: at each depth at which there are
+    histories, the deepest first, what has none yet is folded by its ancestor there.
+    Every fold is combined before a shuffle, so a history with a third of all nodes
+    makes no heavy task.  ``by`` names a column of both tables that is the same for all
+    that is below one history; tables that are partitioned by it aren't shuffled again.
     """
     kind = lambda name: F.col("primary_type") == name
-    roots = nodes.where(paths.below(F.col("path"), storage) & kind("nt:versionHistory")).select(F.col("path").alias("history_path"), F.col("name").alias("history"))
-    held = nodes.where(paths.below(F.col("path"), storage)).select("path", "primary_type", F.explode(F.filter(paths.self_and_ancestors(F.col("path")), lambda p: paths.below(p, storage))).alias("history_path"))
-    owned = held.join(roots, "history_path").groupBy("path").agg(F.max(F.struct(F.length("history_path"), "history_path", "history")).alias("h"), F.max("primary_type").alias("primary_type"))
-    owned = owned.select("path", "primary_type", "h.history_path", "h.history")
+    keys, inside = [by] if by else [], paths.below(F.col("path"), storage)
+    depths = {r.depth for r in nodes.where(inside & kind("nt:versionHistory")).select(paths.depth(F.col("path")).alias("depth")).distinct().collect()}
+    held = nodes.where(inside).select(*keys, "path", F.lit(True).alias("node"), kind("nt:versionHistory").alias("history"), kind("nt:version").alias("version"), (F.col("primary_type") > "nt:version").alias("other"))
     first = F.col("position") == 0
     created = F.when((F.col("name") == "jcr:created") & first, values.epoch_seconds(F.col("value")))
     frozen = (F.col("name") == "jcr:frozenPrimaryType") & first & (F.col("value") == "nt:configuration")
-    facts = properties.where(paths.below(F.col("path"), storage)).groupBy("path").agg(
-        F.max(created).alias("created"), F.max(frozen).alias("configuration"), F.sum("binary_length").alias("bytes"), F.count("binary_reference").alias("external")
-    )
-    per_node = owned.join(facts, "path", "left")
-    return per_node.groupBy("history_path", "history").agg(
-        F.max(F.when(kind("nt:version"), F.col("created"))).alias("newest"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("nodes"),
-        F.coalesce(F.sum("external"), F.lit(0)).cast("bigint").alias("external_references"), F.coalesce(F.max("configuration"), F.lit(False)).alias("configuration"),
-    ).withColumnRenamed("history_path", "path")
+    # all other properties add nothing
+    tells = ((F.col("name") == "jcr:created") & first) | frozen | F.col("binary_length").isNotNull() | F.col("binary_reference").isNotNull()
+    facts = properties.where(inside & tells).select(*keys, "path", created.alias("created"), frozen.alias("configuration"), F.col("binary_length").alias("bytes"), F.col("binary_reference").isNotNull().cast("bigint").alias("external_references"))
+    is_version = F.coalesce(F.max("version"), F.lit(False)) & ~F.coalesce(F.max("other"), F.lit(False))  # of several types the greatest
+    per_node = held.unionByName(facts, allowMissingColumns=True).groupBy(*keys, "path").agg(
+        F.max("node").alias("node"), F.coalesce(F.max("history"), F.lit(False)).alias("history"), F.when(is_version, F.max("created")).alias("newest"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("bytes"),
+        F.lit(1).cast("bigint").alias("nodes"), F.coalesce(F.sum("external_references"), F.lit(0)).cast("bigint").alias("external_references"), F.coalesce(F.max("configuration"), F.lit(False)).alias("configuration"),
+    ).where("node")
+    owned = per_node.withColumn("path", paths.normalize(F.col("path")))
+    for depth in sorted(depths, reverse=True):
+        up = F.when(F.col("history"), F.col("path")).otherwise(F.substring_index("path", "/", depth + 1))
+        owned = owned.withColumn("path", up).groupBy(*keys, "path").agg(
+            F.max("history").alias("history"), F.max("newest").alias("newest"), F.sum("bytes").alias("bytes"), F.sum("nodes").alias("nodes"),
+            F.sum("external_references").alias("external_references"), F.max("configuration").alias("configuration"),
+        )
+    return owned.where("history").select("path", paths.name(F.col("path")).alias("history"), "newest", "bytes", "nodes", "external_references", "configuration")
 
 
 def record_bytes(data_bytes: Column, head_nodes: Column, nodes: Column) -> Column:

@@ -95,14 +95,14 @@ def listing(nodes: DataFrame, root: str, depth_limit: int) -> DataFrame:
     return found.orderBy(paths.document_order(F.col("path")))
 
 
-def derive_nodes(entities: DataFrame, path: str = "path", primary_type: str = "primary_type") -> DataFrame:
-    """Node rows of entities that only have a path and a type."""
+def derive_nodes(entities: DataFrame, path: str = "path", primary_type: str = "primary_type", keep: Sequence[str] = ()) -> DataFrame:
+    """Node rows of entities that only have a path and a type; columns to ``keep`` go first."""
     p = paths.normalize(F.col(path))
-    return entities.select(p.alias("path"), paths.parent(p).alias("parent_path"), paths.name(p).alias("name"), paths.depth(p).alias("depth"), F.col(primary_type).alias("primary_type"))
+    return entities.select(*keep, p.alias("path"), paths.parent(p).alias("parent_path"), paths.name(p).alias("name"), paths.depth(p).alias("depth"), F.col(primary_type).alias("primary_type"))
 
 
-def explode_values(entities: DataFrame, name: str, property_type: str, values_column: str, multiple: bool, path: str = "path") -> DataFrame:
-    """Property rows of one property of all entities.
+def explode_values(entities: DataFrame, name: str, property_type: str, values_column: str, multiple: bool, path: str = "path", keep: Sequence[str] = ()) -> DataFrame:
+    """Property rows of one property of all entities; columns to ``keep`` go first.
 
     A single value has position 0; several have theirs; an empty list leaves a
     marker row without position and value; a null leaves none.  The value goes to
@@ -110,14 +110,14 @@ def explode_values(entities: DataFrame, name: str, property_type: str, values_co
     """
     rows = entities.where(F.col(values_column).isNotNull())
     if multiple:
-        rows = rows.select(F.col(path).alias("path"), F.posexplode_outer(values_column).alias("position", "v"))
+        rows = rows.select(*keep, F.col(path).alias("path"), F.posexplode_outer(values_column).alias("position", "v"))
     else:
-        rows = rows.select(F.col(path).alias("path"), F.lit(0).alias("position"), F.col(values_column).alias("v"))
+        rows = rows.select(*keep, F.col(path).alias("path"), F.lit(0).alias("position"), F.col(values_column).alias("v"))
     column = {"Long": "long_value", "Double": "double_value", "Boolean": "boolean_value", "Binary": "binary_length"}.get(property_type, "value")
     types = dict(zip(VALUE_COLUMNS, ("string", "bigint", "double", "boolean", "bigint", "string"), strict=True))
     v = F.octet_length("v").cast("bigint") if property_type == "Binary" else F.col("v")
     filled = [(v if c == column else F.lit(None)).cast(types[c]).alias(c) for c in VALUE_COLUMNS]
-    return rows.select("path", F.lit(name).alias("name"), F.lit(property_type).alias("property_type"), F.lit(multiple).alias("multiple"), "position", *filled)
+    return rows.select(*keep, "path", F.lit(name).alias("name"), F.lit(property_type).alias("property_type"), F.lit(multiple).alias("multiple"), "position", *filled)
 
 
 def inventory(nodes: DataFrame) -> DataFrame:

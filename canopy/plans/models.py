@@ -128,14 +128,20 @@ SEGMENTS_SQL = f"""with s as (
 STORAGE = "/jcr:system/jcr:versionStorage"
 
 
+def _history(key):
+    """Name and path of the history of an order."""
+    name = F.when(key % 97 == 0, F.concat(F.lit("broken-"), key.cast("string"))).otherwise(_uuid(key, "8"))
+    return name, F.concat(F.lit(STORAGE + "/"), F.substring(F.md5(key.cast("string")), 1, 2), F.lit("/"), F.substring(F.md5(key.cast("string")), 3, 1), F.lit("/"), name)
+
+
 def histories(spark: SparkSession, d: str) -> DataFrame:
     """An order is a history below two intermediate nodes; every 97th has a malformed name."""
     key = F.col("o_orderkey")
-    name = F.when(key % 97 == 0, F.concat(F.lit("broken-"), key.cast("string"))).otherwise(_uuid(key, "8"))
+    name, path = _history(key)
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
     o = table(spark, d, "orders").join(lines, "o_orderkey", "left")
     return o.select(
-        name.alias("history"), F.concat(F.lit(STORAGE + "/"), F.substring(F.md5(key.cast("string")), 1, 2), F.lit("/"), F.substring(F.md5(key.cast("string")), 3, 1), F.lit("/"), name).alias("path"),
+        name.alias("history"), path.alias("path"),
         F.when(key % 13 != 0, F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("newest"), F.floor("o_totalprice").cast("bigint").alias("bytes"),
         (F.coalesce("lines", F.lit(0)) + 1).cast("bigint").alias("nodes"), (F.col("o_orderpriority") == "1-URGENT").alias("configuration"), key.alias("key"),
     )
@@ -154,18 +160,28 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_storage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and properties of the histories: each line of an order is a version with a date, a binary and a frozen node."""
-    h = histories(spark, d).select("key", "path", "history", "configuration")
-    versions = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_shipdate", "l_quantity").join(h, "key")
-    at = F.concat("path", F.lit("/v"), "l_linenumber")
-    node = lambda df, path, kind: df.select(path.alias("path"), F.lit(kind).alias("primary_type"))
+    """Nodes and properties of the histories: each line of an order is a version with a date, a binary and a frozen node.
+
+    Both have the order's ``key`` and are partitioned by it: a history's path is made
+    once an order, and lines of the same number are one version within their partition.
+    """
+    no = F.lit(None).cast("bigint")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderpriority") == "1-URGENT").alias("configuration"), _history(F.col("o_orderkey"))[1].alias("h"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_shipdate", "l_quantity").join(orders, "key")
+    at = F.concat("h", F.lit("/v"), "l_linenumber")
     frozen = F.concat(at, F.lit("/frozen"))
-    entities = node(h, F.col("path"), "nt:versionHistory").unionByName(node(versions, at, "nt:version").distinct()).unionByName(node(versions, frozen, "nt:frozenNode").distinct())
-    created = explode_values(versions.select(at.alias("path"), F.date_format("l_shipdate", "yyyy-MM-dd'T00:00:00.000Z'").alias("v")), "jcr:created", "Date", "v", False)
-    kind = explode_values(versions.select(frozen.alias("path"), F.when(F.col("configuration"), "nt:configuration").otherwise("nt:page").alias("v")), "jcr:frozenPrimaryType", "Name", "v", False)
-    data = explode_values(versions.select(frozen.alias("path"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("v")), "data", "Binary", "v", False)
-    names = explode_values(versions.select(frozen.alias("path"), F.array(F.lit("x"), F.lit("y")).alias("v")), "tags", "String", "v", True)
-    return derive_nodes(entities), created.unionByName(kind).unionByName(data).unionByName(names)
+    node = lambda df, path, kind: df.select("key", path.alias("path"), F.lit(kind).alias("primary_type"))
+    versions = lines.select("key", "h", "l_linenumber").distinct()
+    entities = node(orders.select("key").distinct(), _history(F.col("key"))[1], "nt:versionHistory").unionByName(node(versions, at, "nt:version")).unionByName(node(versions, frozen, "nt:frozenNode"))
+    # the single values of a line in one pass, as each pass would shuffle the lines
+    one = lambda path, name, kind, value, length: F.struct(path.alias("path"), F.lit(name).alias("name"), F.lit(kind).alias("property_type"), value.alias("value"), length.alias("binary_length"))
+    created = one(at, "jcr:created", "Date", F.date_format("l_shipdate", "yyyy-MM-dd'T00:00:00.000Z'"), no)
+    kind = one(frozen, "jcr:frozenPrimaryType", "Name", F.when(F.col("configuration"), "nt:configuration").otherwise("nt:page"), no)
+    data = one(frozen, "data", "Binary", F.lit(None).cast("string"), F.octet_length(F.repeat(F.lit("x"), F.col("l_quantity").cast("int"))).cast("bigint"))
+    single = lines.select("key", F.inline(F.array(created, kind, data))).where(F.col("value").isNotNull() | F.col("binary_length").isNotNull())
+    names = explode_values(lines.select("key", frozen.alias("path"), F.array(F.lit("x"), F.lit("y")).alias("v")), "tags", "String", "v", True, keep=["key"])
+    filled = {"multiple": F.lit(False), "position": F.lit(0), "long_value": no, "double_value": F.lit(None).cast("double"), "boolean_value": F.lit(None).cast("boolean"), "binary_reference": F.lit(None).cast("string")}
+    return derive_nodes(entities, keep=["key"]), single.withColumns(filled).select(*names.columns).unionByName(names)
 
 
 HISTORIES_SQL = f"""with lines as (select l_orderkey as o_orderkey, count(*) as lines from lineitem group by 1),

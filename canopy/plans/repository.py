@@ -816,7 +816,7 @@ def live_identifiers(s, d):
     hi.configuration and count(l_orderkey) > 0 as configuration from hi left join lineitem on l_orderkey = hi.key group by hi.path, hi.history, hi.configuration"""))
 def history_facts(s, d):
     """What the content of version storage says of each history."""
-    return orphans.history_facts(*m.version_storage(s, d), m.STORAGE)
+    return orphans.history_facts(*m.version_storage(s, d), m.STORAGE, "key")
 
 
 @query("select o_orderkey, case when a > 0 then (a // a1) * 0 + (b // a) * n + ((b % a) * n) // a else 0 end as estimate from (select o_orderkey, o_orderkey % 9 as a, greatest(o_orderkey % 9, 1) as a1, floor(o_totalprice)::bigint as b, o_custkey as n from orders)")

@@ -383,3 +383,60 @@ def test_expiry_beyond_64_bits(spark, tmp_path):
     want = {(k, top if b is None else min(9223372036854000000 + k + math.floor(b * 1000), top)) for k, b in rows}
     got = repository.checkpoint_expiry(spark, str(tmp_path))
     assert {tuple(r) for r in got.collect()} == want and dict(got.dtypes)["expires"] == "bigint"
+
+
+def test_histories_are_folded_without_a_second_shuffle(spark, tmp_path):
+    """Lines that repeat a number are one version; the tables that the facts are made of are shuffled by key only."""
+    from canopy.plans import models, repository
+
+    orders = [(k, "1-URGENT" if k % 2 else "5-LOW") for k in range(200)]
+    lines = [(k, n, float(n), f"1996-01-{n + k % 20 + 1:02d}") for k in range(0, 190) for n in (1, 2, 2, 3)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_quantity double, day string")
+    rows.withColumn("l_shipdate", F.col("day").cast("timestamp")).drop("day").write.parquet(str(tmp_path / "lineitem.parquet"))
+    stored, _ = models.version_storage(spark, str(tmp_path))
+    assert stored.count() == stored.select("path").distinct().count() == 200 + 190 * 6
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        df = repository.history_facts(spark, str(tmp_path))
+        got = {r.path: r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    key = F.col("o_orderkey")
+    for r in spark.createDataFrame(orders, "o_orderkey bigint, o string").select(key, models._history(key)[1].alias("path"), models._history(key)[0].alias("name")).collect():
+        k, f = r.o_orderkey, got.pop(r.path)
+        newest = 820454400 + (3 + k % 20) * 86400 if k < 190 else None
+        assert (f.history, f.newest, f.bytes, f.nodes, f.external_references, f.configuration) == (r.name, newest, 8 if k < 190 else 0, 7 if k < 190 else 1, 0, k % 2 == 1 and k < 190)
+    assert not got
+    planned = [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in x]
+    assert planned and all("path" not in x and "l_linenumber" not in x.split("hashpartitioning(")[1].split(")")[0] for x in planned)
+
+
+def test_facts_of_histories_at_many_depths(spark):
+    """Against a walk up from each node; shared keys or none, properties without a node, nodes outside."""
+    storage, rnd = "/jcr:system/jcr:versionStorage", random.Random(5)
+    kinds: dict[str, str | None] = {}
+    for _ in range(400):
+        parent = rnd.choice([storage, *kinds]) if kinds else storage
+        kinds[f"{parent}/{rnd.choice('abcd')}"] = rnd.choice(["nt:versionHistory", "nt:version", "nt:version", "nt:frozenNode", None])
+    extra = {"/content/x": "nt:versionHistory"}
+    nodes = tree.derive_nodes(spark.createDataFrame([*kinds.items(), *extra.items()], "path string, primary_type string"))
+    props = []
+    for p in [*kinds, "/content/x", f"{storage}/none", *(f"{k}/none" for k in list(kinds)[:20])]:
+        props += [(p, "jcr:created", "Date", False, 0, f"1970-01-01T00:00:{rnd.randrange(60):02d}.000Z", None, None, None, None, None), (p, "b", "Binary", False, 0, None, None, None, None, rnd.randrange(9), None), (p, "r", "Binary", True, 1, None, None, None, None, None, "x")]
+    columns = "path string, name string, property_type string, multiple boolean, position int, value string, long_value bigint, double_value double, boolean_value boolean, binary_length bigint, binary_reference string"
+    want: dict[str, list] = {p: [None, 0, 0, 0] for p, k in kinds.items() if k == "nt:versionHistory"}
+    owner = lambda p: p if p in want else owner(p.rpartition("/")[0]) if p else None
+    for p in kinds:
+        if o := owner(p):
+            want[o][2] += 1
+    for p, name, *_, v, _, _, _, n, _ in props:
+        if p in kinds and (o := owner(p)):
+            if name == "jcr:created" and kinds[p] == "nt:version":
+                want[o][0] = max(want[o][0] or 0, int(v[17:19]))
+            want[o][1] += n or 0
+            want[o][3] += name == "r"
+    got = orphans.history_facts(nodes, spark.createDataFrame(props, columns), storage).collect()
+    assert len({p.count("/") for p in want}) > 2
+    assert {r.path: [r.newest, r.bytes, r.nodes, r.external_references] for r in got} == want and all(r.history == r.path.rpartition("/")[2] for r in got)
